@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, tex
         for batch in batches:
             for part in slices(batch, "__text"):
                 counts = [own.count(t) for t in part.column("__text").to_pylist()]
-                n_bytes = pa.compute.binary_length(part.column("__text")).cast(pa.int64())
+                n_bytes = pc.binary_length(part.column("__text")).cast(pa.int64())
                 out = [*(part.column(k) for k in range(len(keep))), n_bytes, pa.array(counts, pa.int64()), pa.array([c > limit for c in counts])]
                 yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
