@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weirflow.llm import bpe, token_counts
+from weirflow.llm import bpe, media, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op8_media_columns": media.op8_media_columns,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
