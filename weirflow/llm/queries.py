@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from weirflow.llm import bpe, media, token_counts
+from weirflow.llm import bpe, media, mixing, secrets, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op5_mixing": mixing.op5_mixing,
+        "op6_secret_scans": secrets.op6_secret_scans,
         "op8_media_columns": media.op8_media_columns,
         "op10_token_counts": token_counts.op10_token_counts,
     }
