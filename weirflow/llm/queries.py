@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weirflow.llm import bpe, media, mixing, secrets, token_counts
+from weirflow.llm import bpe, media, mixing, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_secret_scans": secrets.op6_secret_scans,
         "op8_media_columns": media.op8_media_columns,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from weirflow.llm import common
 
 #: Most labelled texts of each class that training and calibration use.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Rows and width of the embedding table, filters of each width, and the widths.
-ROWS, DIM, FILTERS, WIDTHS = 1 << 19, 8, 8, (1, 2, 3)
-EPOCHS, BATCH, RATE = 8, 64, 0.05
+ROWS, DIM, FILTERS, WIDTHS = 1 << 19, 8, 12, (1, 2, 3)
+EPOCHS, BATCH, RATE = 10, 64, 0.05
 #: One of so many sampled texts calibrates instead of training.
 CALIBRATE = 5
 #: Words a worker remembers the rows of.
@@ -42,19 +42,33 @@ REMEMBERED = 500_000
 LEAST_OF_LANGUAGE = 200
 
 _LOWER = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_rows_of: dict[bytes, int] = {}
+#: A word has the sum of three rows of the table: of itself and of its beginnings of so many bytes,
+#: so that forms of a word which training has not seen share what is known of their stem.
+STEMS = (5, 7)
 
 
-def word_rows(text: str | bytes | None) -> np.ndarray:
-    """Embedding rows of a text's words; row 0 is never a word's."""
-    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    words = raw.translate(_LOWER).split()
-    if len(_rows_of) > REMEMBERED:
-        _rows_of.clear()
-    for w in set(words):
-        if w not in _rows_of:
-            _rows_of[w] = zlib.crc32(w) % (ROWS - 1) + 1
-    return np.fromiter(map(_rows_of.__getitem__, words), np.int32, len(words))
+class Words:
+    """Numbers for the words met so far, and their rows of the table."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.rows: list[tuple[int, ...]] = []
+
+    def of(self, text: str | bytes | None) -> np.ndarray:
+        """A number for each word of the text."""
+        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+        words = raw.translate(_LOWER).split()
+        for w in set(words):
+            if w not in self.number:
+                self.number[w] = len(self.rows)
+                self.rows.append(tuple(zlib.crc32(w[:n] + b"%d" % n if n else w) % (ROWS - 1) + 1 for n in (0, *STEMS)))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+
+def word_rows(text: str | bytes | None, words: Words) -> np.ndarray:
+    """The table's rows of a text's words, ``1 + len(STEMS)`` a word; row 0 is never a word's."""
+    found = words.of(text)
+    return np.array(words.rows, np.int32).reshape(-1, 1 + len(STEMS))[found] if len(found) else np.zeros((0, 1 + len(STEMS)), np.int32)
 
 
 @dataclass
@@ -69,36 +83,70 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
     constant: float | None = None
 
-    def pooled(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text and filter the largest value and the place where it begins; the padded words."""
+    def embedded(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the words of all texts, each text followed by empty words; where texts begin, their sizes."""
         pad = max(WIDTHS)
         sizes = np.array([len(t) + pad for t in texts])
-        words = np.zeros(int(sizes.sum()), np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        rows = np.zeros((int(sizes.sum()), 1 + len(STEMS)), np.int64)
         for s, t in zip(starts, texts, strict=True):
-            words[s : s + len(t)] = t
-        embedded = self.table[words]
-        flat = embedded @ np.concatenate([k for w in WIDTHS for k in self.kernels[w]], axis=1)
-        best, where, column = [], [], 0
+            rows[s : s + len(t)] = t
+        return rows, starts, sizes
+
+    def pooled(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Per text and filter the largest value; all values by width. ``flat``: embedded words."""
+        products = flat @ np.concatenate([k for w in WIDTHS for k in self.kernels[w]], axis=1)
+        best, values, column = [], [], 0
         for w in WIDTHS:
-            z = flat[:, column : column + FILTERS].copy()
+            z = products[:, column : column + FILTERS].copy()
             for j in range(1, w):
-                z[:-j] += flat[j:, column + j * FILTERS : column + (j + 1) * FILTERS]
+                z[:-j] += products[j:, column + j * FILTERS : column + (j + 1) * FILTERS]
             column += w * FILTERS
             best.append(np.maximum.reduceat(z, starts))
-            where.append(z)
-        top = np.concatenate(best, 1)
-        return top, (where, starts, sizes), words
+            values.append(z)
+        return np.concatenate(best, 1), values
 
-    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
-        top, _, _ = self.pooled(texts)
+    def top_logits(self, top: np.ndarray) -> np.ndarray:
         return np.maximum(top + self.bias, 0) @ self.weights + self.offset
 
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        z = np.clip(self.logits(texts) * self.scale + self.shift, -40, 40).astype(np.float64)
-        return 1 / (1 + np.exp(-z))
+    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+        rows, starts, _ = self.embedded(texts)
+        return self.top_logits(self.pooled(self.table[rows].sum(1), starts)[0])
+
+    def score_of(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(logits.astype(np.float64) * self.scale + self.shift, -40, 40)))
+
+
+class Scorer:
+    """Scores raw texts; remembers numbers and embeddings of words, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.vectors, self.filled = Words(), np.zeros((1 << 16, DIM), np.float32), 0
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.model.constant is not None:
+            return np.full(len(texts), self.model.constant)
+        if len(self.words.rows) > REMEMBERED:
+            self.clear()
+        numbers = [self.words.of(t) for t in texts]
+        known = len(self.words.rows)
+        while known + 1 > len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        if known > self.filled:
+            rows = np.array(self.words.rows[self.filled :])
+            self.vectors[self.filled : known] = self.model.table[rows].sum(1)
+            self.filled = known
+        pad = max(WIDTHS)
+        sizes = np.array([len(t) + pad for t in numbers])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        flat = np.zeros((int(sizes.sum()), DIM), np.float32)
+        for s, t in zip(starts, numbers, strict=True):
+            flat[s : s + len(t)] = self.vectors[t]
+        return self.model.score_of(self.model.top_logits(self.model.pooled(flat, starts)[0]))
 
 
 def _new_model(rng: np.random.Generator) -> Model:
@@ -125,7 +173,9 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Model:
         for at in range(0, n, BATCH):
             rows = order[at : at + BATCH]
             part = [texts[r] for r in rows]
-            top, (values, starts, sizes), words = model.pooled(part)
+            words, starts, sizes = model.embedded(part)
+            flat = model.table[words].sum(1)
+            top, values = model.pooled(flat, starts)
             active = np.maximum(top + model.bias, 0)
             z = active @ model.weights + model.offset
             error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) * weight[rows] / len(rows)).astype(np.float32)
@@ -147,12 +197,12 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Model:
                 g_kernel = np.zeros_like(model.kernels[w])
                 for j in range(w):
                     place = np.minimum(hit_row + j, len(words) - 1)
-                    e = model.table[words[place]]
+                    e = flat[place]
                     contribution = np.zeros((FILTERS, DIM), np.float32)
                     np.add.at(contribution, hit_col, g[:, None] * e)
                     g_kernel[j] = contribution.T
-                    g_rows.append(words[place])
-                    g_values.append(g[:, None] * model.kernels[w][j][:, hit_col].T)
+                    g_rows.append(words[place].ravel())
+                    g_values.append(np.repeat(g[:, None] * model.kernels[w][j][:, hit_col].T, words.shape[1], axis=0))
                 g_kernels[w] = g_kernel
             for name, x, g in [("bias", model.bias, g_bias), ("weights", model.weights, g_weights), *((w, model.kernels[w], g_kernels[w]) for w in WIDTHS)]:
                 squares[name] += g * g
@@ -196,7 +246,7 @@ def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, weights
             break
     a = min(max(a, 1e-3), 50.0)
     model.scale, model.shift = a / spread, b
-    s = 1 / (1 + np.exp(-np.clip(z * model.scale + model.shift, -40, 40)))
+    s = model.score_of(z)
     model.thresholds = {"": 0.5}
     for language in sorted({x for x in languages if x}):
         own = np.array([x == language for x in languages])
@@ -222,13 +272,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [word_rows(t).tobytes() for t in batch.column("text").to_pylist()]
+            words = [word_rows(t, Words()).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "lang")), pa.array(words, pa.binary())], names=["doc_id", "toxic", "lang", "words"])
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     rows = docs.select("doc_id", "text", lang).join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "lang", "text").mapInArrow(work, "doc_id bigint, toxic int, lang string, words binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["words"]))
-    texts = [np.frombuffer(r["words"], np.int32) for r in rows]
+    texts = [np.frombuffer(r["words"], np.int32).reshape(-1, 1 + len(STEMS)) for r in rows]
     y = np.array([r["toxic"] for r in rows])
     held = np.arange(len(rows)) % CALIBRATE == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
@@ -247,10 +297,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = kept.get("model") or kept.setdefault("model", pickle.loads(shared.value))
+        own = kept.get("scorer") or kept.setdefault("scorer", Scorer(pickle.loads(shared.value)))
         for batch in batches:
             for part in common.slices(batch, "__text", 2 << 20):
-                found = own.scores([word_rows(t) for t in part.column("__text").to_pylist()])
+                found = own.scores(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(found, pa.float64())], names=[*names, "__score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`__score` double"])
