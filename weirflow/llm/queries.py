@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weirflow.llm import bpe, media, mixing, secrets, token_counts, toxicity
+from weirflow.llm import bpe, media, mixing, secrets, token_counts, toxicity, vectors
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
         "op5_mixing": mixing.op5_mixing,
         "op6_secret_scans": secrets.op6_secret_scans,
+        "op7_embedding_near_dedup": vectors.op7_embedding_near_dedup,
         "op8_media_columns": media.op8_media_columns,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_counts": token_counts.op10_token_counts,
