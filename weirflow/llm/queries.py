@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weirflow.llm import bpe, media, minhash, mixing, secrets, token_counts, toxicity, vectors
+from weirflow.llm import bpe, hmm, media, minhash, mixing, secrets, token_counts, toxicity, vectors
 
 
 def queries() -> dict:
     return {
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+        "op4_lm_scoring": hmm.op4_lm_scoring,
         "op5_mixing": mixing.op5_mixing,
         "op6_secret_scans": secrets.op6_secret_scans,
         "op7_embedding_near_dedup": vectors.op7_embedding_near_dedup,
