@@ -189,3 +189,19 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, shard: int = SH
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def resample(docs: DataFrame, text: str = "text", seed: int = SEED) -> DataFrame:
+    """Rows of ``docs`` repeated as the mix takes their words, whole documents at a time.
+
+    A document whose words are taken ``taken / size`` times stands so many whole times, and once
+    more if a hash of its id falls below the rest; the expected number of words is ``taken``.
+    Documents without words, which no target counts, stay once.
+    """
+    names = docs.columns
+    taken = mix(docs, text, seed=seed).groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
+    joined = docs.join(taken.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")))
+    times = F.col("__taken") / F.col("__size")
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    copies = F.when(F.col("__size") == 0, F.lit(1)).otherwise((F.floor(times) + (chance < times - F.floor(times)).cast("int")).cast("int"))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(copies > 0).select(*names)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weirflow.llm import bpe, hmm, media, minhash, mixing, secrets, token_counts, toxicity, vectors
+from weirflow.llm import bpe, hmm, media, minhash, mixing, secrets, suffix_dedup, token_counts, toxicity, vectors
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_lm_scoring": hmm.op4_lm_scoring,
