@@ -87,10 +87,10 @@ def signatures(texts: list[str | None], registers: int = REGISTERS) -> tuple[np.
     first = np.full(len(texts) * registers, np.inf)
     holder = np.zeros(len(texts) * registers, np.uint64)
     time = np.zeros(len(element))
-    arrival = np.uint64(0)
+    arrival = 0
     while len(element):
-        arrival += np.uint64(1)
-        u = _mix(element + arrival * np.uint64(0x9E3779B97F4A7C15))
+        arrival += 1
+        u = _mix(element + np.uint64(arrival * 0x9E3779B97F4A7C15 % 2**64))
         time = time - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weight
         cell = doc * registers + (_mix(u) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(first, cell, time)
@@ -104,7 +104,7 @@ def signatures(texts: list[str | None], registers: int = REGISTERS) -> tuple[np.
 
 def band_keys(rows: np.ndarray, band: int = BAND) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
-    parts = rows.reshape(len(rows), -1, band).astype(np.uint64)
+    parts = rows.reshape(len(rows), rows.shape[1] // band, band).astype(np.uint64)
     key = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
     for j in range(band):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])

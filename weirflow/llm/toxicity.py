@@ -17,6 +17,7 @@ the input are ignored.
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ EPOCHS, BATCH, RATE = 10, 64, 0.05
 #: One of so many sampled texts calibrates instead of training.
 CALIBRATE = 5
 #: Words a worker remembers the rows of.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Fewest sampled texts of a language that set a threshold of its own.
 LEAST_OF_LANGUAGE = 200
 
@@ -95,12 +96,17 @@ class Model:
 
     def pooled(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Per text and filter the largest value; all values by width. ``flat``: embedded words."""
-        products = flat @ np.concatenate([k for w in WIDTHS for k in self.kernels[w]], axis=1)
+        return self.largest(flat @ np.concatenate([k for w in WIDTHS for k in self.kernels[w]], axis=1), starts)
+
+    def largest(self, products: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The same from each word's products with all filters' positions."""
         best, values, column = [], [], 0
+        ends = np.append(starts[1:], len(products))
         for w in WIDTHS:
             z = products[:, column : column + FILTERS].copy()
             for j in range(1, w):
                 z[:-j] += products[j:, column + j * FILTERS : column + (j + 1) * FILTERS]
+                z[ends - j] = -np.inf  # would reach into the next text
             column += w * FILTERS
             best.append(np.maximum.reduceat(z, starts))
             values.append(z)
@@ -114,18 +120,40 @@ class Model:
         return self.top_logits(self.pooled(self.table[rows].sum(1), starts)[0])
 
     def score_of(self, logits: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(logits.astype(np.float64) * self.scale + self.shift, -40, 40)))
+        z = np.clip(logits.astype(np.float64) * self.scale + self.shift, -40, 40)
+        return np.array([1 / (1 + math.exp(-x)) for x in z.tolist()])  # one by one: vector forms differ in the last bit by place
 
 
 class Scorer:
-    """Scores raw texts; remembers numbers and embeddings of words, up to a bound."""
+    """Scores raw texts; remembers words' numbers and products with the filters, up to a bound.
+
+    Every sum is made element by element in a fixed order, so a text's score does not depend on
+    the texts that are scored with it.
+    """
 
     def __init__(self, model: Model):
         self.model = model
+        if model.constant is None:
+            self.filters = np.concatenate([k for w in WIDTHS for k in model.kernels[w]], axis=1)
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.vectors, self.filled = Words(), np.zeros((1 << 16, DIM), np.float32), 0
+        self.words, self.products, self.filled = Words(), np.zeros((1 << 15, FILTERS * sum(WIDTHS)), np.float32), 0
+
+    def _learn(self) -> None:
+        known = len(self.words.rows)
+        while known > len(self.products):
+            self.products = np.concatenate([self.products, np.zeros_like(self.products)])
+        if known > self.filled:
+            table = self.model.table[np.array(self.words.rows[self.filled :])]
+            vectors = table[:, 0]
+            for j in range(1, table.shape[1]):
+                vectors = vectors + table[:, j]
+            new = vectors[:, :1] * self.filters[0]
+            for k in range(1, DIM):
+                new += vectors[:, k : k + 1] * self.filters[k]
+            self.products[self.filled : known] = new
+            self.filled = known
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.model.constant is not None:
@@ -133,20 +161,19 @@ class Scorer:
         if len(self.words.rows) > REMEMBERED:
             self.clear()
         numbers = [self.words.of(t) for t in texts]
-        known = len(self.words.rows)
-        while known + 1 > len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-        if known > self.filled:
-            rows = np.array(self.words.rows[self.filled :])
-            self.vectors[self.filled : known] = self.model.table[rows].sum(1)
-            self.filled = known
+        self._learn()
         pad = max(WIDTHS)
         sizes = np.array([len(t) + pad for t in numbers])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        flat = np.zeros((int(sizes.sum()), DIM), np.float32)
+        flat = np.zeros((int(sizes.sum()), self.products.shape[1]), np.float32)
         for s, t in zip(starts, numbers, strict=True):
-            flat[s : s + len(t)] = self.vectors[t]
-        return self.model.score_of(self.model.top_logits(self.model.pooled(flat, starts)[0]))
+            flat[s : s + len(t)] = self.products[t]
+        top = self.model.largest(flat, starts)[0]
+        active = np.maximum(top + self.model.bias, 0).astype(np.float64)
+        logits = np.full(len(texts), float(self.model.offset))
+        for k, w in enumerate(self.model.weights):
+            logits += active[:, k] * float(w)
+        return self.model.score_of(logits)
 
 
 def _new_model(rng: np.random.Generator) -> Model:

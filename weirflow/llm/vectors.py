@@ -45,6 +45,8 @@ def usable(vector: str = "embedding"):
 def pick_pivots(reps: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Unit vectors; at most ``MOST_PIVOTS``, about the root of the number of rows."""
     rows = reps.orderBy(F.xxhash64(F.lit(7), "rep"), "rep").limit(sample).select("vector").collect()
+    if not rows:
+        return np.zeros((0, 0))
     n = reps.count()
     sizes = [len(r[0]) for r in rows]
     dim = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
