@@ -20,5 +20,23 @@ def queries() -> dict:
     }
 
 
+_REACH = """r AS (SELECT id, id AS m FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.m),
+c AS (SELECT id, min(m) AS component FROM r GROUP BY id)"""
+
+_NEAR_TEXTS = rf"""WITH RECURSIVE v AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM v WHERE len(w) > 0),
+n AS (SELECT id, count(*) AS k FROM s GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * p.k >= 8 * (x.k + y.k - p.k)),
+{_REACH}
+SELECT d.doc_id, c.component AS class_id, d.doc_id = c.component AS kept FROM documents d JOIN c ON c.id = d.doc_id"""
+
+_NEAR_VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+{_REACH}
+SELECT c.id AS vec_id, (SELECT count(*) FROM l WHERE l.a = c.id) AS n_links, component AS component_id, c.id = component AS kept FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force over all pairs. The other queries are beyond SQL; tests hold them against brute-force versions."""
+    return {"op3_minhash_near_dedup": _NEAR_TEXTS, "op7_embedding_near_dedup": _NEAR_VECTORS}
