@@ -30,8 +30,8 @@ BLOCK, SHARD = 128, 1024
 #: Most times that a source's words may be taken.
 MOST = 3
 SEED = 20
-#: Documents of one piece of a source, on average.
-PIECE = 4096
+#: Documents of one piece of all sources, on average; numbered rows that one window sorts.
+PIECE, RUN = 512, 4096
 #: Equal parts of the unit interval by which slots find their source.
 PARTS = 4096
 #: Rounds of the permutation, and steps back into its domain (enough for any number of blocks, see ``permuted``).
@@ -43,6 +43,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(common.WORD_REGEX), F.lit(0))), F.lit(0)).cast("long")
 
 
+def before(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the same keys with a smaller ``order``, a unique number.
+
+    In two levels, so that no task sorts more than ``RUN`` rows of a key, or one row for each such run.
+    """
+    run = F.floor(F.col(order) / RUN).alias("__run")
+    runs = df.groupBy(*keys, run).agg(F.sum(value).alias("__sum"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    runs = runs.withColumn("__since", F.sum("__sum").over(whole.orderBy("__run")) - F.col("__sum")).drop("__sum")
+    inside = Window.partitionBy(*keys, "__run").orderBy(order)
+    out = df.withColumn("__run", run).withColumn("__within", F.sum(value).over(inside) - F.col(value))
+    return out.join(runs, [*keys, "__run"]).withColumn(name, F.col("__since") + F.col("__within")).drop("__run", "__since", "__within")
+
+
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, source, size and a tie-breaking hash; written down, as three readers follow."""
     out = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("tie"))
@@ -130,12 +144,11 @@ def draw(goal: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     counts = common.materialize(counts, "mix-draws")
 
     # Slots of a source are numbered through the shards; those past its quota are given to sources below theirs.
-    before = F.sum("n").over(Window.partitionBy("place").orderBy("shard")) - F.col("n")
-    numbered = counts.withColumn("from", before).join(goal.select("place", "quota"), "place")
+    numbered = before(counts, ["place"], "shard", "n", "from").join(goal.select("place", "quota"), "place")
     held = numbered.withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota")))
     kept = held.where("to > from").select("shard", "place", "from", "to")
     over = held.withColumn("free", F.col("n") - F.greatest(F.lit(0), F.col("to") - F.col("from"))).where("free > 0").groupBy("shard").agg(F.sum("free").alias("free"))
-    over = over.withColumn("upto", F.sum("free").over(Window.partitionBy(F.lit(0)).orderBy("shard"))).withColumn("since", F.col("upto") - F.col("free"))
+    over = before(over, [], "shard", "free", "since").withColumn("upto", F.col("since") + F.col("free"))
     drawn_of = counts.groupBy("place").agg(F.sum("n").alias("drawn"))
     under = goal.select("place", "quota").where("quota > 0").join(drawn_of, "place", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).where("drawn < quota")
     under = under.withColumn("upto_", F.sum(F.col("quota") - F.col("drawn")).over(Window.partitionBy(F.lit(0)).orderBy("place"))).withColumn("since_", F.col("upto_") - (F.col("quota") - F.col("drawn")))
@@ -149,6 +162,7 @@ def draw(goal: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     given = given.select("shard", "place", (F.col("drawn") + F.col("a") - F.col("since_")).alias("from"), (F.col("drawn") + F.col("b") - F.col("since_")).alias("to"))
 
     plan = kept.unionByName(given).join(goal.select("place", "blocks"), "place")
+    plan = plan.repartition(common.partitions_for(plan), "shard", "place")  # before rows multiply
     plan = plan.withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
     epoch = F.floor(F.col("slot") / F.col("blocks"))
     return plan.select("shard", "place", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("place"), epoch).alias("block"))
@@ -156,17 +170,14 @@ def draw(goal: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
 
 def streams(sized: DataFrame, goal: DataFrame) -> DataFrame:
     """``sized`` with ``place`` and ``start``: where each document of some size begins in its source's stream."""
-    some = sized.where("size > 0")
-    n = some.agg(F.count("*")).first()[0]
-    pieces = max(1, -(-n // PIECE))
-    some = some.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
-    of_piece = some.groupBy("source", "piece").agg(F.sum("size").alias("words"))
-    of_piece = of_piece.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("piece")) - F.col("words"))
-    of_piece = of_piece.join(goal, of_piece.source.eqNullSafe(goal.source)).select(of_piece.source.alias("s"), "piece", "before", "place", "source_size", "target", "blocks")
-    inside = Window.partitionBy("source", "piece").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = sized.where("size > 0").alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", "place", "source_size", "target")
+    n = sized.where("size > 0").count()
+    some = some.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // PIECE)))))
+    pieces = before(some.groupBy("place", "piece").agg(F.sum("size").alias("words")), ["place"], "piece", "words", "before").select("place", "piece", "before")
+    inside = Window.partitionBy("place", "piece").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     some = some.withColumn("within", F.sum("size").over(inside) - F.col("size"))
-    joined = some.join(of_piece.withColumnRenamed("piece", "p"), some.source.eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")))
-    return joined.select("doc_id", "source", "size", "place", "source_size", "target", (F.col("before") + F.col("within")).alias("start"))
+    start = (F.col("before") + F.col("within")).alias("start")
+    return some.join(pieces, ["place", "piece"]).select("doc_id", "source", "size", "place", "source_size", "target", start)
 
 
 def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
