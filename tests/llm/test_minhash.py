@@ -51,9 +51,9 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("block", [512, 3])
+@pytest.mark.parametrize("block", [8 << 20, 4000])
 def test_classes(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_CHARS", block)
     texts = corpus()
     ids = list(range(len(texts)))
     random.Random(3).shuffle(ids)

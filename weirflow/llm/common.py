@@ -102,7 +102,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = materialize(e, "cc")
-    before = None
+    state = lambda: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first())
+    before = state()
     while True:
         # Large star: each node links its larger neighbours to its smallest neighbour or itself.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -114,8 +115,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         after = materialize(small.where("u <> v").distinct(), "cc")
         release(e)
         e = after
-        row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
-        now = tuple(row)
+        now = state()
         if now == before:
             break
         before = now

@@ -9,9 +9,10 @@ bucket may be a near-duplicate, and texts are linked when the Jaccard similarity
 shingle sets, computed from the texts, is at least the threshold.
 
 Work per bucket is linear where the bucket is one group: members are compared with the bucket's
-lowest id first. Buckets that this leaves in several components go on: blocks of members are
-compared by signature, and the most similar pairs of different components are verified, in
-rounds that widen until no unverified pair is left whose estimate is at least ``ESTIMATE``. Exact
+lowest id first. Buckets that this leaves in several components are compared whole: their
+members are cut into blocks by size, each pair of blocks is one task, which counts the shingles
+that each member shares with all others at once and gives the links that join components, never
+the pairs. So every pair that shares a bucket is either in one component or compared. Exact
 copies are one representative from the start. Groups are never held in one task: hubs and
 buckets are cut into chunks.
 
@@ -36,10 +37,8 @@ from weirflow.llm import common
 WORDS, THRESHOLD = 5, 0.8
 #: 16 bands of 4 registers: a pair at similarity 0.8 shares none with chance 0.0002.
 REGISTERS, BAND = 64, 4
-#: Share of equal registers from which a pair of an open bucket is verified: 4 deviations below the threshold.
-ESTIMATE = 0.6
-#: Members compared with one hub in a task; members of a bucket in one block; pairs of two components verified in the first round.
-CHUNK, BLOCK, FIRST = 256, 512, 8
+#: Members compared with one hub in a task; characters of a block of an open bucket.
+CHUNK, BLOCK_CHARS = 256, 8 << 20
 REMEMBERED = 1_000_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -162,40 +161,47 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return rows.mapInArrow(work, "a bigint, b bigint, similarity double")
 
 
-def _cross_pairs(open_members: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` pairs (a, b) for each two components of a block pair, the most similar first; ``cut`` tells of more."""
-    counts = open_members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+def _block_links(open_members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components of a bucket, compared whole, block by block; those that span them."""
+    counts = open_members.groupBy("key").agg(F.ceil(F.sum(F.length("text") + 1) / BLOCK_CHARS).cast("int").alias("blocks"))
     rows = open_members.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "rep", "component", "signature")
+    rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "rep", "component", "text")
 
     def work(table: pa.Table) -> pa.Table:
         own, rep, component = (table.column(c).to_numpy() for c in ("own", "rep", "component"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(own), -1)
+        found = [shingle_set(t) for t in table.column("text").to_pylist()]
+        sizes = np.array([len(f) for f in found])
+        _, number = np.unique(np.concatenate(found), return_inverse=True)
+        ends = np.cumsum(sizes)
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        out: list[tuple[int, int, int, int, float]] = []
-        for at in range(0, len(x), 32):
-            rows_ = x[at : at + 32]
-            share = (sig[rows_][:, None, :] == sig[y][None, :, :]).mean(2)
-            i, j = np.nonzero((share >= ESTIMATE) & (component[rows_][:, None] != component[y][None, :]))
-            for p, q, s in zip(rows_[i].tolist(), y[j].tolist(), share[i, j].tolist(), strict=True):
-                if lo != hi or p < q:
-                    c, d = sorted((int(component[p]), int(component[q])))
-                    out.append((c, d, *sorted((int(rep[p]), int(rep[q]))), s))
-        out.sort(key=lambda r: (r[0], r[1], -r[4], r[2], r[3]))
-        a, b, cut, seen = [], [], [], {}
-        for c, d, p, q, _ in out:
-            n = seen[c, d] = seen.get((c, d), 0) + 1
-            if n <= most:
-                a.append(p)
-                b.append(q)
-                cut.append(False)
-            elif n == most + 1:
-                cut[-1] = True
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cut": pa.array(cut, pa.bool_())})
-
-    return rows.groupBy("key", "lo", "hi").applyInArrow(work, "a bigint, b bigint, cut boolean")
+        of_y = np.concatenate([number[ends[j] - sizes[j] : ends[j]] for j in y]) if len(y) else np.zeros(0, np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes[y])[:-1]])
+        flag = np.zeros(int(number.max()) + 1, np.int32)
+        parent = {int(c): int(c) for c in component}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        a, b = [], []
+        for i in x if len(y) else ():
+            mine = number[ends[i] - sizes[i] : ends[i]]
+            flag[mine] = 1
+            both = np.add.reduceat(flag[of_y], starts)
+            flag[mine] = 0
+            for j in y[(both >= threshold * (sizes[i] + sizes[y] - both)) & (component[y] != component[i])]:
+                p, q = root(int(component[i])), root(int(component[j]))
+                if p != q:
+                    parent[p] = q
+                    a.append(int(rep[i]))
+                    b.append(int(rep[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(work, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -209,25 +215,15 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     held = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
     held = common.materialize(held.groupBy("rep").agg(F.max("text").alias("text")) if _repeats(docs) else held, "minhash-texts")
-    edges, tested, most = common.materialize(verify(pairs, held, threshold), "minhash-edges"), pairs, FIRST
-    while True:
-        components = common.materialize(common.connected_components(edges), "minhash-components")
-        near = members.join(hubs, "key").join(components, members.rep == components.node, "left")
-        near = near.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        still = near.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_members = near.join(still, "key").join(reps.select("rep", "signature"), "rep")
-        found = common.materialize(_cross_pairs(open_members, most), "minhash-cross")
-        fresh = found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = common.materialize(fresh, "minhash-fresh")
-        more = found.where("cut").limit(1).count()
-        if not fresh.limit(1).count():
-            if not more:
-                break
-            most *= 4
-            continue
-        edges = common.materialize(edges.unionByName(verify(fresh, held, threshold)), "minhash-edges")
-        tested = common.materialize(tested.unionByName(fresh), "minhash-pairs")
-        most *= 4
+    edges = common.materialize(verify(pairs, held, threshold).select("a", "b"), "minhash-edges")
+    components = common.connected_components(edges)
+    near = members.join(hubs, "key").join(components, members.rep == components.node, "left")
+    near = common.materialize(near.select("key", "rep", F.coalesce("component", "rep").alias("component")), "minhash-near")
+    still = near.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    still = still.where("lo <> hi and n > 2").select("key")  # of two members the one pair is verified already
+    new = common.materialize(_block_links(near.join(still, "key").join(held, "rep"), threshold), "minhash-edges")
+    if new.limit(1).count():
+        components = common.connected_components(edges.unionByName(new))
     by_digest = reps.join(components, reps.rep == components.node, "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     found = described.select("doc_id", "digest").join(by_digest, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
