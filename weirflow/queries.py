@@ -52,9 +52,9 @@ def cents(c: Column) -> Column:
 # -- element-wise
 
 
-@query("SELECT o_orderkey, round(o_totalprice * 1.1, 2) AS price FROM orders")
+@query("SELECT o_orderkey, round(o_totalprice * 100)::BIGINT * 11 AS price FROM orders")
 def map_collect(spark, d):
-    return table(spark, d, "orders").map(lambda x: {"o_orderkey": x.o_orderkey, "price": F.round(x.o_totalprice * 1.1, 2)}).collect()
+    return table(spark, d, "orders").map(lambda x: {"o_orderkey": x.o_orderkey, "price": cents(x.o_totalprice) * 11}).collect()
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
@@ -62,10 +62,10 @@ def filter_collect(spark, d):
     return table(spark, d, "orders", ["o_orderkey", "o_totalprice"]).filter(lambda x: x.o_totalprice > 100000).collect()
 
 
-@query("SELECT l_orderkey, round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem WHERE round(l_extendedprice * (1 - l_discount), 4) > 20000")
+@query("SELECT * FROM (SELECT l_orderkey, round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT) AS revenue FROM lineitem) WHERE revenue > 200000000")
 def map_filter_collect(spark, d):
-    pipe = table(spark, d, "lineitem").map(lambda x: {"l_orderkey": x.l_orderkey, "revenue": F.round(x.l_extendedprice * (1 - x.l_discount), 4)})
-    return pipe.filter(lambda x: x.revenue > 20000).collect()
+    pipe = table(spark, d, "lineitem").map(lambda x: {"l_orderkey": x.l_orderkey, "revenue": cents(x.l_extendedprice) * (100 - cents(x.l_discount))})
+    return pipe.filter(lambda x: x.revenue > 200000000).collect()
 
 
 @query("SELECT unnest([c_custkey, c_custkey + 1, c_custkey + 2]) AS value FROM customer")
@@ -321,10 +321,10 @@ def drain_rest(spark, d):
     return par_drain(table(spark, d, "part", ["p_partkey", "p_name"]), 100, 150)[1].collect()
 
 
-@query("SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN round(p_retailprice * 2, 2) ELSE p_retailprice END AS p_retailprice FROM part")
+@query("SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN p_retailprice * 2 ELSE p_retailprice END AS p_retailprice FROM part")
 def mut_update(spark, d):
     pipe = table(spark, d, "part", ["p_partkey", "p_brand", "p_retailprice"])
-    pipe = update_where(pipe, lambda x: x.p_brand.endswith("1"), lambda x: {"p_retailprice": F.round(x.p_retailprice * 2, 2)})
+    pipe = update_where(pipe, lambda x: x.p_brand.endswith("1"), lambda x: {"p_retailprice": x.p_retailprice * 2})
     return pipe.map(lambda x: {"p_partkey": x.p_partkey, "p_retailprice": x.p_retailprice}).collect()
 
 
