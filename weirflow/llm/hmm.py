@@ -25,6 +25,7 @@ equal scores. Extra columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -129,9 +130,13 @@ def _part_rows(part: np.ndarray, at: np.ndarray, values: np.ndarray) -> Iterator
         yield int(p), at[m].astype(np.int64).tobytes(), values[m].astype(np.float64).tobytes()
 
 
-def _summed(rows: DataFrame, width: int) -> dict[str, np.ndarray]:
+def _summed(rows: DataFrame, width: int, spread: int = 1) -> dict[str, np.ndarray]:
     """Sums of value rows by place, over rows (part, at, sums); partial sums per task, then by part."""
 
+    def lane(table: pa.Table) -> pa.Table:
+        total = work(table)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "at": total.column("at"), "sums": total.column("sums")})
+
     def work(table: pa.Table) -> pa.Table:
         at = np.frombuffer(b"".join(table.column("at").to_pylist()), np.int64)
         values = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float64).reshape(-1, width)
@@ -139,7 +144,11 @@ def _summed(rows: DataFrame, width: int) -> dict[str, np.ndarray]:
         total = np.stack([np.bincount(back, values[:, j], len(places)) for j in range(width)], 1)
         return pa.table({"at": pa.array([places.tobytes()], pa.binary()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    found = rows.groupBy("part").applyInArrow(work, "at binary, sums binary").collect()
+    # Two levels, so that a task sums what about the root of the number of tasks has sent.
+    wide = max(1, math.isqrt(spread))
+    rows = rows.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(wide)))
+    first = rows.groupBy("part", "lane").applyInArrow(lane, "part int, at binary, sums binary")
+    found = first.groupBy("part").applyInArrow(work, "at binary, sums binary").collect()
     at = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["at"], np.int64) for r in found)])
     values = np.concatenate([np.zeros((0, width)), *(np.frombuffer(r["sums"], np.float64).reshape(-1, width) for r in found)])
     return {"at": at, "sums": values}
@@ -197,7 +206,7 @@ class Corpus:
         order = np.argsort(h)
         self.heads, self.head_counts = h[order], c[order]
         self.distinct = counts.where("kind = 2").agg(F.sum("number")).first()[0] or 0
-        found = _summed(counts.where("kind = 3").select(F.col("number").cast("int").alias("part"), F.col("x").alias("at"), F.col("y").alias("sums")), 1)
+        found = _summed(counts.where("kind = 3").select(F.col("number").cast("int").alias("part"), F.col("x").alias("at"), F.col("y").alias("sums")), 1, common.partitions_for(counts))
         self.mass = np.ones(CLASSES)  # words never seen: one more of each class
         self.mass[found["at"]] += found["sums"][:, 0]
         own = np.concatenate([self.head_counts + 1.0, self.mass])
@@ -322,7 +331,9 @@ def maximize(starts: np.ndarray, moves: np.ndarray, at: np.ndarray, sums: np.nda
 def starting_point(coded: DataFrame, corpus: Corpus, states: int = STATES) -> Model:
     """A few rounds on the training documents at the beginning of one chunk, from a seeded perturbation."""
     rng = np.random.default_rng(4)
-    row = coded.orderBy(F.element_at("ids", 1)).select("held", "lengths", "symbols").first()
+    # The chunk is found by its first id alone; only its own row comes to the driver.
+    chosen = coded.agg(F.min_by("chunk", F.struct(F.try_element_at("ids", F.lit(1)), "chunk"))).first()[0]
+    row = coded.where(F.col("chunk") == chosen).select("held", "lengths", "symbols").first() if chosen else None
     size = len(corpus.prior)
     emissions = corpus.prior[:, None] * rng.gamma(1.0, 1.0, (size, states))
     moves = np.full((states, states), 0.02 / max(1, states - 1)) + np.eye(states) * 0.98
@@ -367,7 +378,7 @@ def baum_welch(coded: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, f
             rows.append((0, np.arange(size, size + len(extra)).tobytes(), extra.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "at", "sums"])
 
-    found = _summed(coded.select("held", "lengths", "symbols").mapInArrow(work, "part int, at binary, sums binary"), k)
+    found = _summed(coded.select("held", "lengths", "symbols").mapInArrow(work, "part int, at binary, sums binary"), k, coded.rdd.getNumPartitions())
     if not len(found["at"]):
         return model, 0.0
     extra = np.zeros((k + 2, k))
