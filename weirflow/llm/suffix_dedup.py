@@ -49,6 +49,8 @@ GRAMS = SPAN - GRAM + 1
 WIDTH, CENTRE = GRAMS - 1 + SPAN, GRAMS - 1
 #: Text bytes hashed together, strings sorted together, and bytes of a unit.
 PIECE, TOGETHER, UNIT = 1 << 20, 1 << 18, 16 << 20
+#: Most tasks over units.
+MOST_TASKS = 100_000
 
 _B = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -368,7 +370,10 @@ def _each_unit(units: DataFrame, news: DataFrame | None, work: Callable[[int, st
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return work(left.column("unit")[0].as_py(), left.column("path")[0].as_py(), left.column("group")[0].as_py(), right)
 
-    return units.groupBy("unit").cogroup(news.groupBy("unit")).applyInArrow(run, schema)
+    # A unit's row is small and its work is not: as many tasks as units, whatever the rows weigh.
+    tasks = min(MOST_TASKS, 2 * units.count() + 1)
+    by_unit = lambda df: df.repartition(tasks, "unit").groupBy("unit")
+    return by_unit(units).cogroup(by_unit(news)).applyInArrow(run, schema)
 
 
 def duplicated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, str]:
