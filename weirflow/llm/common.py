@@ -60,11 +60,6 @@ def release(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._weirflow_path)
 
 
-def fixed_temp(root: str | None = None) -> str:
-    """A task-local scratch folder; the caller removes it within the task."""
-    return tempfile.mkdtemp(prefix="weirflow-task-", dir=root)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -87,10 +82,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         yield batch.slice(start)
 
 
-def as_table(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of an undirected edge table: the smallest node reachable from each.
 

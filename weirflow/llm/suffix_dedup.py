@@ -48,7 +48,7 @@ GRAMS = SPAN - GRAM + 1
 #: Bytes of a string around an anchor, and where the anchor stands in it.
 WIDTH, CENTRE = GRAMS - 1 + SPAN, GRAMS - 1
 #: Text bytes hashed together, strings sorted together, and bytes of a unit.
-PIECE, TOGETHER, UNIT = 1 << 20, 1 << 18, 16 << 20
+PIECE, TOGETHER, UNIT = 1 << 20, 1 << 16, 16 << 20
 #: Most tasks over units.
 MOST_TASKS = 100_000
 
@@ -227,7 +227,8 @@ def columns(text: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarr
         m = len(group)
         order = np.argsort(group, kind="stable")
         _, sizes = np.unique(group, return_counts=True)
-        number = np.repeat(np.arange(len(sizes)), sizes)  # of the group at each place; places of a group stay together
+        # Small numbers are sorted by their digits, in time proportional to the strings.
+        number = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.int64), sizes)  # of the group at each place; places of a group stay together
         begins = np.concatenate([[True], number[1:] != number[:-1]]) if m else np.zeros(0, bool)
         files.write("order", order.astype(np.int64))
         files.write("prefixes", np.zeros(m, np.uint8))
@@ -235,7 +236,8 @@ def columns(text: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarr
             order, prefixes = files.read("order", np.int64), files.read("prefixes", np.uint8)
             bwt = files.column(j)[order]  # the symbol before each suffix, in the suffixes' order
             files.write("bwt", bwt)
-            place = np.argsort(number * 256 + bwt, kind="stable")  # new places: by group, symbol, old place
+            place = np.argsort(bwt, kind="stable")
+            place = place[np.argsort(number[place], kind="stable")]  # new places: by group, symbol, old place
             symbol = bwt[place]
             agree = np.concatenate([[False], symbol[1:] == symbol[:-1]]) & ~begins
             where = np.flatnonzero(agree)
@@ -457,7 +459,7 @@ def duplicated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
 
     # ``dest`` of news that a unit keeps is the unit: any task may hand them on.
     spread = lambda df: df.withColumn("dest", F.when(F.col("kind").isin("copy", "mark"), F.pmod("dest", F.lit(parts))).otherwise(F.col("dest")))
-    exchange = lambda df, work: spread(df).groupBy("dest").applyInArrow(work, _SCHEMA)
+    exchange = lambda df, work: spread(df).repartition(parts, "dest").groupBy("dest").applyInArrow(work, _SCHEMA)
     copies = common.materialize(exchange(_each_unit(units, None, whole, _SCHEMA), same_whole), "suffix-copies")
     again = common.materialize(exchange(_each_unit(units, copies, local, _SCHEMA), met_again), "suffix-anchors")
     common.release(copies)
