@@ -1,8 +1,8 @@
 """Secret scans with DataFrame functions only: fixed patterns, then windows of high entropy.
 
 Base spans are the leftmost non-overlapping matches of three patterns (``assign``, ``access``,
-``hex``). The method adds ``entropy`` spans: a candidate is a run of 20 or more characters
-``[A-Za-z0-9+/_=-]``; its character class is hex, mixed (letters with digits) or letters; a
+``hex``). The method adds ``entropy`` spans: a candidate is a stretch of 20 or more characters
+``[A-Za-z0-9+/_=-]`` outside all base spans; its character class is hex, mixed (letters with digits) or letters; a
 window of 20 characters slides over it, and the counts of its characters change by one in and
 one out a step, and with them the sum of ``c log2 c`` from which Shannon's entropy follows.
 Windows that reach the class's threshold make one span from the first such window's start to
@@ -99,13 +99,26 @@ def window_entropy(candidate: Column, threshold: Column, window: int = WINDOW) -
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda acc: F.struct(acc["best"].alias("best"), acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _outside(x: Column, base: Column) -> Column:
+    """The stretches of a run that no base span covers, as ``_located`` gives runs; ``base`` is sorted by start."""
+    empty = F.array().cast("array<struct<match:string,start:int,end:int>>")
+
+    def stretch(start: Column, end: Column) -> Column:
+        piece = F.struct(F.substring(x["match"], start - x["start"] + 1, end - start).alias("match"), start.alias("start"), end.alias("end"))
+        return F.when(end - start >= WINDOW, F.array(piece)).otherwise(empty)
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["found"], stretch(acc["at"], b["start"])).alias("found"))
+
+    inside = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    cut = F.aggregate(inside, F.struct(x["start"].alias("at"), empty.alias("found")), step, lambda acc: F.concat(acc["found"], stretch(acc["at"], x["end"])))
+    return F.when(F.size(inside) > 0, cut).otherwise(F.array(x))
+
+
 def _entropy(rank: int, thresholds: dict[str, float], allowed: tuple[str, ...]) -> Column:
     text, base = F.col("__text"), F.col("__base")
     allow = "^(?:" + "|".join(allowed) + ")$" if allowed else "^(?!)$"
-    kept = F.filter(
-        _located(text, CANDIDATE),
-        lambda x: ~x["match"].rlike(allow) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
+    kept = F.filter(F.flatten(F.transform(_located(text, CANDIDATE), lambda x: _outside(x, base))), lambda x: ~x["match"].rlike(allow))
 
     def scored(x: Column) -> Column:
         threshold = (
