@@ -124,3 +124,14 @@ def spans_outside(t):
 def test_spans_outside_base_spans(spark):
     all_texts = texts()
     assert found_in(spark, all_texts) == [joined(spans_outside(t or "")) for t in all_texts]
+
+
+def test_random_letters_are_found_and_names_are_not(spark):
+    r = random.Random(7)
+    upper_lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, least in ((upper_lower, 0.98), (upper_lower[26:], 0.9)):
+        made = ["key " + "".join(r.choice(alphabet) for _ in range(32)) for _ in range(300)]
+        got = found_in(spark, made)
+        assert sum("entropy" in s for s in got) >= least * len(made)
+    names = ["internationalization", "getElementByIdentifierFromDocumentRoot", "AbstractSingletonProxyFactoryBean", "Rechtsschutzversicherungsgesellschaften", "some/PathTo/LongClassNameOfThings", "keitstlichschenverpf"]
+    assert found_in(spark, names) == [""] * len(names)

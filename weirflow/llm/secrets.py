@@ -28,12 +28,14 @@ PRESENT = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that a window must reach, by character class.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 4.25}
+THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.6}
 #: Candidates that match one of these wholly are no secrets: numbers and dates, names made of
-#: words or of words with short numbers, and universally unique identifiers.
+#: words or of words with short numbers, names whose words begin with capitals, and universally
+#: unique identifiers.
 ALLOWED = (
     r"[0-9+/_=-]+",
     r"(?:[A-Za-z]{0,18}[0-9]{0,4}[_/=+-]+)+[A-Za-z]{0,18}[0-9]{0,4}",
+    r"[_/=+-]*[A-Z]?[a-z]{1,17}(?:[_/=+-]*[A-Z][a-z]{1,17})+[_/=+-]*",
     r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}",
 )
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
