@@ -82,3 +82,18 @@ def test_corner_tables(spark):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in rows)
     rows = hmm.score(*hmm.fit(docs_frame(spark, ["a b", "a b", "c"], [1, 1, None]))).collect()
     assert len(rows) == 3
+
+
+def test_all_rounds_see_the_corpus_until_it_settles(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "CHUNK", 6000)
+    other = lambda t: t.translate(str.maketrans("aeiou", "äéîöü"))  # noqa: E731  the first chunks hold one language only
+    df = docs_frame(spark, [(other if k >= 60 else str)(prose(100, k)) for k in range(120)])
+    found = []
+    for order in ("doc_id", "lang"):
+        rows = df.select("doc_id", "text", (-df.doc_id).alias("lang")).coalesce(1).sortWithinPartitions(order)
+        coded, model, corpus = hmm.fit(rows)
+        model_after, log = hmm.baum_welch(coded, model, corpus)
+        assert hmm.baum_welch(coded, model_after, corpus)[1] - log <= 1e-4 * abs(log)
+        found.append({r["doc_id"]: r["score"] for r in hmm.score(coded, model, corpus).collect()})
+    # The layout of the input chooses nothing.
+    assert found[0] == pytest.approx(found[1], rel=1e-3)

@@ -11,9 +11,9 @@ Data flow: documents become chunks of some megabytes, written once. A chunk's di
 training counts are dealt by word hash; the task that holds a hash sums its counts over all
 chunks and answers each chunk in the same pass, so no (document, word) pair is ever shuffled. Each
 Baum-Welch round is one pass over the chunks; the tasks' expected counts are summed by symbol
-range, and only the sums, whose number is bounded, reach the driver. The starting point alone is
-made on the driver from one bounded chunk; the parameters are those of the rounds over all
-training documents.
+range, and only the sums, whose number is bounded, reach the driver. The start is a seeded
+perturbation of the corpus's counts; rounds over all training documents follow until the
+likelihood settles.
 
 Words are told apart by 64-bit hashes (at V words some pair collides with chance V**2 / 2**65).
 
@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import common
 
-STATES, ROUNDS = 5, 2
+STATES = 5
+#: The likelihood has settled where ``STILL`` rounds in a row gain less than this share of it; after one such round it may rise again.
+SETTLED, STILL = 1e-5, 2
 #: Least share of training tokens of a word that is a symbol of its own.
 HEAD = 1e-5
 CLASSES = 8192
-#: Bytes of text of a chunk; words a worker remembers; bytes of the chunk part that the start is made from, and its rounds.
-CHUNK, REMEMBERED, START_TOKENS, START_ROUNDS = 12 << 20, 1_000_000, 300_000, 12
+#: Bytes of text of a chunk; words a worker remembers.
+CHUNK, REMEMBERED = 12 << 20, 1_000_000
 #: Parts by which symbols' sums are dealt to tasks.
 PARTS = 16
 #: Weight of the corpus's distribution in a state's, in tokens: a share of all tokens, and at least so many.
@@ -276,10 +278,10 @@ def forward(model: Model, lengths: np.ndarray, symbols: np.ndarray, keep: bool =
     layout = Layout(lengths)
     likely = model.emissions[symbols[layout.source]]
     log = np.zeros(len(lengths))
-    scale = np.empty(len(layout.source))
+    scale = np.empty(len(layout.source), likely.dtype)
     alphas = likely if keep else None
     emitted = likely.copy() if keep else likely
-    alpha = np.zeros((len(lengths), len(model.start)))
+    alpha = np.zeros((len(lengths), len(model.start)), likely.dtype)
     for t in range(layout.steps):
         n, a = layout.active[t], layout.offsets[t]
         now = (np.broadcast_to(model.start, (n, len(model.start))) if t == 0 else alpha[:n] @ model.moves) * emitted[a : a + n]
@@ -288,7 +290,7 @@ def forward(model: Model, lengths: np.ndarray, symbols: np.ndarray, keep: bool =
         scale[a : a + n] = s
         if keep:
             alphas[a : a + n] = alpha
-    logs = np.log10(scale)
+    logs = np.log10(scale, dtype=np.float64)
     for_doc = np.zeros(len(lengths))
     rank = np.empty(len(layout.source), np.int64)
     for t in range(layout.steps):
@@ -303,7 +305,7 @@ def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np
     k = len(model.start)
     log, layout, gamma, emitted, scale = forward(model, lengths, symbols, keep=True)
     moves = np.zeros((k, k))
-    back = np.ones((len(lengths), k))
+    back = np.ones((len(lengths), k), emitted.dtype)
     for t in range(layout.steps - 1, -1, -1):
         n, a = layout.active[t], layout.offsets[t]
         now = back[:n]
@@ -315,9 +317,9 @@ def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np
             back[:n] = w @ model.moves.T
     moves *= model.moves
     own = symbols[layout.source]
-    places, which = np.unique(own, return_inverse=True)
-    sums = np.stack([np.bincount(which, gamma[:, j], len(places)) for j in range(k)], 1)
-    return gamma[: layout.active[0]].sum(0) if layout.steps else np.zeros(k), moves, places, sums, float(log.sum())
+    places = np.flatnonzero(np.bincount(own, minlength=len(model.emissions)))
+    sums = np.stack([np.bincount(own, gamma[:, j], len(model.emissions))[places] for j in range(k)], 1)
+    return gamma[: layout.active[0]].sum(0, dtype=np.float64) if layout.steps else np.zeros(k), moves, places, sums, float(log.sum())
 
 
 def maximize(starts: np.ndarray, moves: np.ndarray, at: np.ndarray, sums: np.ndarray, corpus: Corpus) -> Model:
@@ -328,34 +330,18 @@ def maximize(starts: np.ndarray, moves: np.ndarray, at: np.ndarray, sums: np.nda
     return Model((starts + 1) / (starts.sum() + k), (moves + 1) / (moves.sum(1, keepdims=True) + k), emissions / emissions.sum(0))
 
 
-def starting_point(coded: DataFrame, corpus: Corpus, states: int = STATES) -> Model:
-    """A few rounds on the training documents at the beginning of one chunk, from a seeded perturbation."""
+def starting_point(corpus: Corpus, states: int = STATES) -> Model:
+    """A seeded perturbation of the corpus's distribution, with states that tend to stay."""
     rng = np.random.default_rng(4)
-    # The chunk is found by its first id alone; only its own row comes to the driver.
-    chosen = coded.agg(F.min_by("chunk", F.struct(F.try_element_at("ids", F.lit(1)), "chunk"))).first()[0]
-    row = coded.where(F.col("chunk") == chosen).select("held", "lengths", "symbols").first() if chosen else None
-    size = len(corpus.prior)
-    emissions = corpus.prior[:, None] * rng.gamma(1.0, 1.0, (size, states))
+    emissions = corpus.prior[:, None] * rng.gamma(1.0, 1.0, (len(corpus.prior), states))
     moves = np.full((states, states), 0.02 / max(1, states - 1)) + np.eye(states) * 0.98
-    model = Model(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True), emissions / emissions.sum(0))
-    if row is None:
-        return model
-    lengths, symbols = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["symbols"], np.int32)
-    trains = ~np.frombuffer(row["held"], bool)
-    upto = np.cumsum(lengths)
-    use = trains & (upto <= max(START_TOKENS, int(upto[0])))
-    if not use.any():
-        return model
-    symbols, lengths = symbols[np.repeat(use, lengths)], lengths[use]
-    for _ in range(START_ROUNDS):
-        starts, moves, at, sums, _ = expected(model, lengths, symbols)
-        model = maximize(starts, moves, at, sums, corpus)
-    return model
+    return Model(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True), emissions / emissions.sum(0))
 
 
 def baum_welch(coded: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, float]:
     """One round over all training documents; the new model, and the log10 likelihood under the old one."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    # Probabilities of a step in single precision, at half the memory traffic; sums over steps and chunks in double.
+    shared = coded.sparkSession.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in (model.start, model.moves, model.emissions))))
     k = len(model.start)
     size = len(corpus.prior)
 
@@ -404,8 +390,8 @@ def score(coded: DataFrame, model: Model, corpus: Corpus) -> DataFrame:
     return coded.mapInArrow(work, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def fit(docs: DataFrame, text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> tuple[DataFrame, Model, Corpus]:
-    """The coded corpus, the model and the corpus's counts."""
+def fit(docs: DataFrame, text: str = "text", states: int = STATES, rounds: int | None = None) -> tuple[DataFrame, Model, Corpus]:
+    """The coded corpus, the model after so many rounds or as many as the likelihood takes to settle, and the corpus's counts."""
     chunks = _store(make_chunks(docs, text), "hmm-chunks")
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
     counts = count_words(chunks, HEAD * tokens)
@@ -413,9 +399,11 @@ def fit(docs: DataFrame, text: str = "text", states: int = STATES, rounds: int =
     coded = encode_chunks(chunks, counts, corpus)
     common.release(chunks)
     common.release(counts)
-    model = starting_point(coded, corpus, states)
-    for _ in range(rounds):
-        model, _ = baum_welch(coded, model, corpus)
+    model, before, still, done = starting_point(corpus, states), -math.inf, 0, 0
+    while tokens and (still < STILL if rounds is None else done < rounds):
+        model, log = baum_welch(coded, model, corpus)
+        still = still + 1 if log - before < SETTLED * abs(log) else 0
+        before, done = log, done + 1
     return coded, model, corpus
 
 
