@@ -79,3 +79,17 @@ def test_repeated_ids_nulls_and_empty(spark):
     rows = minhash.classes(docs_frame(spark, [t, t, None, "", prose(50, 2)], [3, 3, 5, None, 8])).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["class_id"] or 0) for r in rows) == [(False, 3, 3), (False, 3, 3), (False, 5, 5), (False, 8, 8), (True, 0, 0)]
     assert minhash.classes(docs_frame(spark, [])).count() == 0
+
+
+def test_repeats_in_the_unshared_part(spark):
+    r = random.Random(8)
+    texts = []
+    for k in range(60):  # pairs at set similarity 0.8 to 0.85; one has 40 shingles more, each about 60 times
+        shared = [f"p{k}w{r.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(shared), " ".join(shared + [f"f{k}x{j}" for j in range(40)] * 60)]
+    s = sets(texts)
+    similar = [len(s[i] & s[i + 1]) / len(s[i] | s[i + 1]) for i in range(0, len(texts), 2)]
+    assert all(0.8 <= x <= 0.85 for x in similar)
+    ids = list(range(len(texts)))
+    got = {row["doc_id"]: row["class_id"] for row in minhash.classes(docs_frame(spark, texts, ids)).collect()}
+    assert got == {k: k - k % 2 for k in ids}

@@ -4,7 +4,9 @@ A text's shingles are its runs of five words, weighed ``1 + ln(count)``. Each sh
 Poisson process whose rate is its weight; every arrival falls on one of ``REGISTERS`` registers,
 each register keeps the shingle that arrived first, and a shingle stops once its next arrival
 would come after every register's first. Two signatures agree in a register with the probability
-Jaccard similarity of their texts. Bands of ``BAND`` registers make buckets; whoever shares a
+Jaccard similarity of their texts. That may be far below the set similarity where shingles repeat
+in one text alone, so a text with repeats has a second signature, of its shingles with weight 1,
+which agrees with others' in proportion to the sets alone; its bands count as well. Bands of ``BAND`` registers make buckets; whoever shares a
 bucket may be a near-duplicate, and texts are linked when the Jaccard similarity of their whole
 shingle sets, computed from the texts, is at least the threshold.
 
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from weirflow.llm import common
 
 WORDS, THRESHOLD = 5, 0.8
-#: 16 bands of 4 registers: a pair at similarity 0.8 shares none with chance 0.0002.
+#: 16 bands of 4 registers: a pair at set similarity 0.8 shares none of those of weight 1 with chance 0.0002.
 REGISTERS, BAND = 64, 4
 #: Members compared with one hub in a task; characters of a block of an open bucket.
 CHUNK, BLOCK_CHARS = 256, 8 << 20
@@ -74,17 +76,25 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingles(text))
 
 
+def counted(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each text, and how often they stand there."""
+    return [np.unique(shingles(t), return_counts=True) for t in texts]
+
+
 def signatures(texts: list[str | None], registers: int = REGISTERS) -> tuple[np.ndarray, np.ndarray]:
     """One row of registers a text (32-bit marks of the shingle that holds each), and shingle counts."""
-    parts = [np.unique(shingles(t), return_counts=True) for t in texts]
+    return _signed(counted(texts), registers)
+
+
+def _signed(parts: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p, _ in parts])
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc = np.repeat(np.arange(len(parts)), sizes)
     if not len(doc):
-        return np.zeros((len(texts), registers), np.uint32), sizes
+        return np.zeros((len(parts), registers), np.uint32), sizes
     element = np.concatenate([p for p, _ in parts])
     weight = 1 + np.log(np.concatenate([c for _, c in parts]))
-    first = np.full(len(texts) * registers, np.inf)
-    holder = np.zeros(len(texts) * registers, np.uint64)
+    first = np.full(len(parts) * registers, np.inf)
+    holder = np.zeros(len(parts) * registers, np.uint64)
     time = np.zeros(len(element))
     arrival = 0
     while len(element):
@@ -117,12 +127,18 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in common.slices(batch, "text", 4 << 20):
                 texts = part.column("text").to_pylist()
-                rows, sizes = signatures(texts)
+                parts = counted(texts)
+                rows, sizes = _signed(parts)
                 keep = np.flatnonzero(sizes > 0)
-                keys = band_keys(rows[keep])
-                ends = pa.array(np.arange(len(keep) + 1) * keys.shape[1], pa.int32())
+                keys = list(band_keys(rows[keep]))
+                again = [k for k, i in enumerate(keep) if parts[i][1].max() > 1]
+                if again:
+                    plain, _ = _signed([(parts[i][0], np.ones_like(parts[i][1])) for i in keep[again]])
+                    for k, own in zip(again, band_keys(plain), strict=True):
+                        keys[k] = np.union1d(keys[k], own)
+                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
                 digests = [hashlib.sha256(texts[k].encode("utf-8", "surrogatepass")).digest() for k in keep]
-                columns = [part.column("doc_id").take(pa.array(keep)), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in rows[keep]], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))]
+                columns = [part.column("doc_id").take(pa.array(keep)), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in rows[keep]], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "signature", "bands"])
 
     return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(work, "doc_id bigint, digest binary, signature binary, bands array<bigint>")
