@@ -14,8 +14,11 @@ from weirflow.llm import bpe, common, minhash, mixing, secrets, toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the rejection threshold of their language."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(~toxicity.rejected(model, F.col("lang"))).select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    scored = common.materialize(toxicity.score(docs, model), "pipeline-scored")
+    toxicity.set_thresholds(model, scored, labels)
+    return scored.where(~toxicity.rejected(model, F.col("lang"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,20 @@ def test_corner_cases(spark):
     assert len(found) == 26 and all(len(s) == 1 for s in by_text.values())
     empty = docs_frame(spark, []).drop("score")
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+def test_thresholds_use_all_labels_and_every_language(spark):
+    model = toxicity.Model(*[toxicity.np.zeros(1)] * 4, 0.0, trained=[0, 1])
+    rows, labels = [], []
+    for k in range(9000):
+        lang, toxic = ("en", "fr", "es", None)[0 if k < 8000 else 1 if k < 8900 else 2 if k < 8990 else 3], k % 10 == 0
+        cut = {"en": 0.5, "fr": 0.35, "es": 0.65, None: 0.5}[lang]
+        rows.append((k, lang, cut + (0.05 if toxic else -0.05)))
+        labels.append((k, 0, int(toxic)))
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, score double")
+    toxicity.set_thresholds(model, scored, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    t = model.thresholds
+    assert set(t) == {"", "en", "fr", "es"}
+    assert abs(t["en"] - 0.5) < 0.06 and 0.3 <= t["fr"] < t["en"] < t["es"] <= 0.7
+    n = sum(toxicity.zlib.crc32(str(k).encode()) % 5 != 0 for k in range(8900, 8990))  # few texts: near the threshold of all
+    assert abs(t["es"] - (n * 0.65 + 200 * t[""]) / (n + 200)) < 0.03

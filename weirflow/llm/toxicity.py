@@ -5,7 +5,9 @@ gives each a row of the embedding table. Filters of several widths run over the
 filter's largest value in the text counts, and a logistic layer weighs them. The model is fitted
 on the driver to at most ``SAMPLE`` labelled texts of each class, picked by a hash of their ids;
 its size does not depend on the data. A part of the sample that training does not see sets the
-calibration of scores and, for each language, the threshold from which a text is rejected.
+calibration of scores. Rejection thresholds come from the scores of all learnable labelled texts
+that training did not see, counted by language: each language's own best threshold, drawn to
+that of all languages by ``SHRINK`` texts.
 
 Scoring reads every whole text once, without a shuffle. Only the text enters a score.
 
@@ -39,8 +41,8 @@ EPOCHS, BATCH, RATE = 10, 64, 0.05
 CALIBRATE = 5
 #: Words a worker remembers the rows of.
 REMEMBERED = 250_000
-#: Fewest sampled texts of a language that set a threshold of its own.
-LEAST_OF_LANGUAGE = 200
+#: Bins of scores from which thresholds are chosen; labelled texts with which the threshold of all languages counts in each language's.
+BINS, SHRINK = 1000, 200
 
 _LOWER = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A word has the sum of three rows of the table: of itself and of its beginnings of so many bytes,
@@ -83,6 +85,7 @@ class Model:
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
     constant: float | None = None
+    trained: list[int] = field(default_factory=list)  # ids of the texts that training saw
 
     def embedded(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the words of all texts, each text followed by empty words; where texts begin, their sizes."""
@@ -245,18 +248,42 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Model:
     return model
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Middle of the gap at which weighing errors of both kinds alike (F1) is best."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, labels.sum()))
+def _best_threshold(counts: np.ndarray) -> float | None:
+    """Middle of the gap between bins at which weighing errors of both kinds alike (F1) is best; ``counts``: bins by class."""
+    if not counts.sum(0).all():
+        return None
+    above = np.cumsum(counts[::-1], 0)[::-1]
+    f1 = 2 * above[:, 1] / (above.sum(1) + counts[:, 1].sum())
     best = int(np.argmax(f1))
-    s = scores[order]
-    return float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best])
-
-
-def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, languages: list[str | None]) -> None:
-    """Scale and shift so that scores are shares of toxic texts and 0.5 parts best; thresholds by language."""
+    last = best
+    while last + 1 < len(f1) and f1[last + 1] == f1[best]:
+        last += 1
+    return (best + last) / 2 / len(counts)
+
+
+def set_thresholds(model: Model, scored: DataFrame, labels: DataFrame) -> None:
+    """Thresholds by language from ``scored`` documents (doc_id, lang, score); only their counts reach the driver."""
+    if model.constant is not None:
+        return
+    seen = scored.sparkSession.createDataFrame([(i,) for i in model.trained], "doc_id bigint")
+    own = _usable(labels).join(F.broadcast(seen), "doc_id", "left_anti")  # at most 2 * sample ids
+    place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    rows = scored.select("doc_id", "lang", place.alias("bin")).join(own, "doc_id").groupBy("lang", "bin", "toxic").count().collect()
+    counts: dict[str | None, np.ndarray] = {}
+    for r in rows:
+        counts.setdefault(r["lang"], np.zeros((BINS, 2)))[r["bin"], int(r["toxic"])] += r["count"]
+    limit = lambda x: min(max(x, 0.3), 0.7)
+    common_one = _best_threshold(sum(counts.values(), np.zeros((BINS, 2))))
+    model.thresholds = {"": 0.5 if common_one is None else limit(common_one)}
+    for language, found in counts.items():
+        best = _best_threshold(found)
+        if language and best is not None:
+            n = found.sum()
+            model.thresholds[language] = float((n * limit(best) + SHRINK * model.thresholds[""]) / (n + SHRINK))
+
+
+def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> None:
+    """Scale and shift so that scores are shares of toxic texts and 0.5 parts best."""
     z = np.concatenate([model.logits(texts[i : i + 256]) for i in range(0, len(texts), 256)]).astype(np.float64)
     spread = max(1e-6, z.std())
     a, b = 1.0 / spread, 0.0
@@ -273,12 +300,6 @@ def calibrate(model: Model, texts: list[np.ndarray], labels: np.ndarray, weights
             break
     a = min(max(a, 1e-3), 50.0)
     model.scale, model.shift = a / spread, b
-    s = model.score_of(z)
-    model.thresholds = {"": 0.5}
-    for language in sorted({x for x in languages if x}):
-        own = np.array([x == language for x in languages])
-        if own.sum() >= LEAST_OF_LANGUAGE and 10 <= labels[own].sum() < own.sum():
-            model.thresholds[language] = min(max(_best_threshold(s[own], labels[own]), 0.3), 0.7)
 
 
 def learnable(doc_id: Column | str) -> Column:
@@ -286,10 +307,14 @@ def learnable(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0
 
 
+def _usable(labels: DataFrame) -> DataFrame:
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learnable("doc_id"))
+    return usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Sample at most ``sample`` labelled texts of each class, train, calibrate."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & learnable("doc_id"))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = _usable(labels)
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     if not all(totals.get(k) for k in (0, 1)):
         return Model(*[np.zeros(1)] * 4, 0.0, constant=1.0 if totals.get(1) else 0.0)
@@ -300,10 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [word_rows(t, Words()).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "lang")), pa.array(words, pa.binary())], names=["doc_id", "toxic", "lang", "words"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic")), pa.array(words, pa.binary())], names=["doc_id", "toxic", "words"])
 
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    rows = docs.select("doc_id", "text", lang).join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "lang", "text").mapInArrow(work, "doc_id bigint, toxic int, lang string, words binary").collect()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(work, "doc_id bigint, toxic int, words binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["words"]))
     texts = [np.frombuffer(r["words"], np.int32).reshape(-1, 1 + len(STEMS)) for r in rows]
     y = np.array([r["toxic"] for r in rows])
@@ -313,7 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
     of_class = np.array([(y == k).sum() for k in (0, 1)])
     weights = np.array([totals[k] / of_class[k] for k in y[held]])  # classes as frequent as among all labels
-    calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], y[held], weights * held.sum() / weights.sum(), [r["lang"] for r, h in zip(rows, held, strict=True) if h])
+    calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], y[held], weights * held.sum() / weights.sum())
+    model.trained = sorted({r["doc_id"] for r, h in zip(rows, held, strict=True) if not h})
     return model
 
 
@@ -335,7 +360,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def rejected(model: Model, lang: Column | None = None) -> Column:
-    """Whether a scored row reaches the threshold of its language (0.5 where it has none)."""
+    """Whether a scored row reaches the threshold of its language (that of all languages where it has none)."""
     limit = F.lit(model.thresholds.get("", 0.5))
     for language, value in sorted(model.thresholds.items()):
         if language and lang is not None:
