@@ -1,7 +1,8 @@
 """A corpus pipeline made of the training-data operators; its stages are run in order, each on what the one before kept.
 
 Every stage but the last returns the columns of ``documents``. Documents without an id are
-one group in the joins that carry decisions back, except where an operator defines otherwise.
+one group in the joins that carry decisions back, except where an operator defines otherwise;
+near-dedup compares them like all others.
 """
 
 from __future__ import annotations
@@ -21,14 +22,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(~toxicity.rejected(model, F.col("lang"))).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__id``: the id, or for texts without one a number of the text's digest beyond all ids.
+
+    So documents with ids stay before those without, and copies without ids share a number.
+    """
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    digest = F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 15), 16, 10).cast("bigint")  # 60 bits
+    low, high = low or 0, high or 0
+    if high < 1 << 62:
+        other = F.lit(max(high, 0) + 1) + digest
+    elif low > -(1 << 62):
+        other = F.lit(min(low, 0) - 1) - digest
+    else:
+        raise ValueError("ids leave no room for numbers of documents without one")
+    return docs.withColumn("__id", F.coalesce("doc_id", other))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the lowest id, once."""
-    kept = minhash.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    stays = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if minhash._repeats(docs.where("doc_id is not null")):
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
-        stays = stays.withColumn("__place", place).where("__place = 1").drop("__place")
-    return stays.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates stays: the one of the lowest id, once; those without an id come last."""
+    no_words = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(common.WORD_REGEX), F.lit(False))
+    keyed = _keyed(docs.where(~no_words))
+    own = keyed.select(F.col("__id").alias("doc_id"), "text")
+    kept = minhash.classes(own).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
+    stays = keyed.join(kept, "__id", "left_semi")
+    if minhash._repeats(own):
+        place = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text"), "source", "lang"))
+        stays = stays.withColumn("__place", place).where("__place = 1")
+    return stays.select(*docs.columns).unionByName(docs.where(no_words))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,15 @@ def test_repeated_rows_and_null_ids(spark):
     docs = docs_frame(spark, ["a b c", "a b c", "d", None], [1, 1, None, None]).select(*COLUMNS)
     assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 3
     assert corpus_pipeline.mix_sources(spark, docs, "").columns == COLUMNS
+
+
+def test_copies_without_ids(spark):
+    t, other = prose(60, 4), prose(60, 9)
+    near = other + " one"
+    texts = [t, t, t, other, near, None, "", None, "alone"]
+    docs = docs_frame(spark, texts, [7, None, None, None, None, None, None, 8, None]).select(*COLUMNS)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert (7, t) in kept and (None, t) not in kept and (8, None) in kept
+    assert sum(x in (other, near) for _, x in kept) == 1
+    assert sorted((x is None, x or "") for i, x in kept if i is None and x in (None, "", "alone")) == [(False, ""), (False, "alone"), (True, "")]
+    assert len(kept) == 6
