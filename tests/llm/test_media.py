@@ -37,3 +37,12 @@ def test_round_trip(spark, monkeypatch, tmp_path):
 def test_empty_table(spark):
     rows = media.store(docs_frame(spark, []), common.new_path(spark, "media"))
     assert media.features(rows).count() == 0
+
+
+def test_query_takes_metadata_from_headers(spark, monkeypatch, tmp_path):
+    docs_frame(spark, HARD).write.parquet(f"{tmp_path}/documents.parquet")
+    described, describe = [], media.describe
+    monkeypatch.setattr(media, "describe", lambda rows: described.append(1) or describe(rows))
+    rows = media.op8_media_columns(spark, str(tmp_path)).collect()
+    assert described and len(rows) == len(HARD)
+    assert all((r["width"], r["height"]) == (576, r["payload_bytes"] // 576) for r in rows)

@@ -191,18 +191,17 @@ def describe(rows: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Adds what the stored bytes say: digests, checksum, sizes, metadata and a feature of the samples."""
+    """Adds what the whole stored bytes say: digests, checksum, sizes and a feature of the samples."""
 
     def each(source, offset: int, length: int):
         media = source.read_at(length, offset)
         payload = png_samples(media)
-        width, height, depth = png_header(media[:HEADER_BYTES])
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload), width, height, depth)
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload))
 
-    return _read(rows, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width bigint, height bigint, bit_depth bigint", each)
+    return _read(rows, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", each)
 
 
 def op8_media_columns(spark, sf_dir: str) -> DataFrame:
-    """The digest columns of every document's stored payload, read back from its shard."""
+    """Metadata of every document's stored payload from its header alone, and the digest columns read back from its shard."""
     rows = store(common.documents(spark, sf_dir), common.new_path(spark, "media"))
-    return features(rows).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return features(describe(rows)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
