@@ -69,7 +69,7 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch whose ``column`` holds about ``most`` bytes each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -87,7 +87,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is two
     shuffles of at most the edge count; every neighbour list is reduced to its minimum by a
-    partial aggregate and joined back, so a hub never gathers its neighbours in one task.
+    partial aggregate and joined back. A hub's edges are one key of that join: adaptive execution
+    splits it where it is large (the other side has one row a node), as nothing is kept in groups.
     Rounds stop when the edge set repeats; their number is logarithmic in practice.
     """
     spark = edges.sparkSession

@@ -3,22 +3,26 @@
 Words are lower-cased runs of bytes that are neither ASCII punctuation nor white space; a hash
 gives each a row of the embedding table. Filters of several widths run over the words, each
 filter's largest value in the text counts, and a logistic layer weighs them. The model is fitted
-on the driver to at most ``SAMPLE`` labelled texts of each class, picked by a hash of their ids;
-its size does not depend on the data. A part of the sample that training does not see sets the
+on the driver to at most ``SAMPLE`` labelled texts and ``SAMPLE_BYTES`` of text of each class, picked
+by a hash of their ids; its size does not depend on the data. A part of the sample that training does not see sets the
 calibration of scores. Rejection thresholds come from the scores of all learnable labelled texts
 that training did not see, counted by language: each language's own best threshold, drawn to
 that of all languages by ``SHRINK`` texts.
 
-Scoring reads every whole text once, without a shuffle. Only the text enters a score.
+Scoring reads every whole text once, without a shuffle. Only the text enters a score. Texts are
+read in pieces and their words' products are made ``WORDS`` at a time, so a text of any length
+takes a fixed amount of memory beside its own bytes.
 
 Defined cases: a null text is empty; an empty text has the score of a text of no words; labels
 that are null or name no document are not used; without labels of both classes every score is
-the share of toxic labels (0.0 without labels). Equal texts have equal scores. Extra columns of
-the input are ignored.
+the share of toxic labels (0.0 without labels). Equal texts have equal scores, repeated ids too.
+A row without an id is not held out. Extra columns are carried; one that has the name of the
+score's column (in any case) is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import zlib
@@ -32,15 +36,17 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import common
 
-#: Most labelled texts of each class that training and calibration use.
-SAMPLE = 4000
+#: Most labelled texts of each class that training and calibration use, and most bytes of them.
+SAMPLE, SAMPLE_BYTES = 4000, 24 << 20
 #: Rows and width of the embedding table, filters of each width, and the widths.
 ROWS, DIM, FILTERS, WIDTHS = 1 << 19, 8, 12, (1, 2, 3)
 EPOCHS, BATCH, RATE = 10, 64, 0.05
 #: One of so many sampled texts calibrates instead of training.
 CALIBRATE = 5
-#: Words a worker remembers the rows of.
-REMEMBERED = 250_000
+#: Words a worker remembers the rows of, and bytes beyond which a word is remembered by its digest.
+REMEMBERED, LONG = 60_000, 128
+#: Bytes of text that are split at a time, and words whose products are held at a time.
+PIECE, WORDS = 1 << 20, 1 << 14
 #: Bins of scores from which thresholds are chosen; labelled texts with which the threshold of all languages counts in each language's.
 BINS, SHRINK = 1000, 200
 
@@ -51,27 +57,40 @@ STEMS = (5, 7)
 
 
 class Words:
-    """Numbers for the words met so far, and their rows of the table."""
+    """Numbers from 1 for the words met so far, and their rows of the table; 0 is the empty word."""
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
-        self.rows: list[tuple[int, ...]] = []
-
-    def of(self, text: str | bytes | None) -> np.ndarray:
-        """A number for each word of the text."""
-        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-        words = raw.translate(_LOWER).split()
-        for w in set(words):
-            if w not in self.number:
-                self.number[w] = len(self.rows)
+        self.rows: list[tuple[int, ...]] = [(0,) * (1 + len(STEMS))]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """A number for each of the words."""
+        keys = words
+        if words and max(map(len, words)) > LONG:
+            keys = [w if len(w) <= LONG else b"\0" + hashlib.blake2b(w, digest_size=16).digest() for w in words]
+        for key, w in dict(zip(keys, words, strict=True)).items():
+            if key not in self.number:
+                self.number[key] = len(self.rows)
                 self.rows.append(tuple(zlib.crc32(w[:n] + b"%d" % n if n else w) % (ROWS - 1) + 1 for n in (0, *STEMS)))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+
+
+def pieces(text: str | bytes | None) -> Iterator[list[bytes]]:
+    """The words of a text, those of about ``PIECE`` bytes together."""
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    rest = b""
+    for at in range(0, len(raw), PIECE):
+        part = rest + raw[at : at + PIECE].translate(_LOWER)
+        cut = len(part) if at + PIECE >= len(raw) else part.rfind(b" ") + 1  # a word may go on in the next piece
+        yield part[:cut].split()
+        rest = part[cut:]
 
 
 def word_rows(text: str | bytes | None, words: Words) -> np.ndarray:
     """The table's rows of a text's words, ``1 + len(STEMS)`` a word; row 0 is never a word's."""
-    found = words.of(text)
-    return np.array(words.rows, np.int32).reshape(-1, 1 + len(STEMS))[found] if len(found) else np.zeros((0, 1 + len(STEMS)), np.int32)
+    found = [words.of(part) for part in pieces(text)]
+    rows = np.array(words.rows, np.int32)
+    return np.concatenate([np.zeros((0, 1 + len(STEMS)), np.int32), *(rows[f] for f in found)])
 
 
 @dataclass
@@ -141,7 +160,7 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.products, self.filled = Words(), np.zeros((1 << 15, FILTERS * sum(WIDTHS)), np.float32), 0
+        self.words, self.products, self.filled = Words(), np.zeros((1 << 12, FILTERS * sum(WIDTHS)), np.float32), 1
 
     def _learn(self) -> None:
         known = len(self.words.rows)
@@ -158,20 +177,47 @@ class Scorer:
             self.products[self.filled : known] = new
             self.filled = known
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str | bytes | None]) -> np.ndarray:
         if self.model.constant is not None:
             return np.full(len(texts), self.model.constant)
-        if len(self.words.rows) > REMEMBERED:
-            self.clear()
-        numbers = [self.words.of(t) for t in texts]
-        self._learn()
-        pad = max(WIDTHS)
-        sizes = np.array([len(t) + pad for t in numbers])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        flat = np.zeros((int(sizes.sum()), self.products.shape[1]), np.float32)
-        for s, t in zip(starts, numbers, strict=True):
-            flat[s : s + len(t)] = self.products[t]
-        top = self.model.largest(flat, starts)[0]
+        top = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
+        parts: list[np.ndarray] = []
+        owners: list[int] = []
+        held = 0
+
+        def settle() -> None:
+            """The largest values of the parts that wait, each as if it were a text."""
+            nonlocal held
+            if parts:
+                self._learn()
+                starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+                best = self.model.largest(self.products[np.concatenate(parts)], starts)[0]
+                np.maximum.at(top, np.array(owners), best)
+            parts.clear()
+            owners.clear()
+            held = 0
+            if len(self.words.rows) > REMEMBERED:
+                self.clear()
+
+        pad, lap = np.zeros(max(WIDTHS), np.int64), max(WIDTHS) - 1
+        for k, text in enumerate(texts):
+            carried: list[bytes] = []  # words whose windows reach into the next part
+            for words in pieces(text):
+                for at in range(0, len(words), WORDS):
+                    if held >= WORDS:
+                        settle()
+                    some = carried + words[at : at + WORDS]
+                    carried = some[-lap:]
+                    if len(some) > lap:
+                        parts.append(self.words.of(some))
+                        owners.append(k)
+                        held += len(some)
+            parts.append(np.concatenate([self.words.of(carried), pad]))
+            owners.append(k)
+            held += len(parts[-1])
+            if held >= WORDS:
+                settle()
+        settle()
         active = np.maximum(top + self.model.bias, 0).astype(np.float64)
         logits = np.full(len(texts), float(self.model.offset))
         for k, w in enumerate(self.model.weights):
@@ -261,13 +307,13 @@ def _best_threshold(counts: np.ndarray) -> float | None:
     return (best + last) / 2 / len(counts)
 
 
-def set_thresholds(model: Model, scored: DataFrame, labels: DataFrame) -> None:
-    """Thresholds by language from ``scored`` documents (doc_id, lang, score); only their counts reach the driver."""
+def set_thresholds(model: Model, scored: DataFrame, labels: DataFrame, score: str = "score") -> None:
+    """Thresholds by language from ``scored`` documents (doc_id, lang and ``score``); only their counts reach the driver."""
     if model.constant is not None:
         return
     seen = scored.sparkSession.createDataFrame([(i,) for i in model.trained], "doc_id bigint")
     own = _usable(labels).join(F.broadcast(seen), "doc_id", "left_anti")  # at most 2 * sample ids
-    place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    place = F.least(F.floor(F.col(score) * BINS), F.lit(BINS - 1)).cast("int")
     rows = scored.select("doc_id", "lang", place.alias("bin")).join(own, "doc_id").groupBy("lang", "bin", "toxic").count().collect()
     counts: dict[str | None, np.ndarray] = {}
     for r in rows:
@@ -313,7 +359,7 @@ def _usable(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Sample at most ``sample`` labelled texts of each class, train, calibrate."""
+    """Sample at most ``sample`` labelled texts and ``SAMPLE_BYTES`` of each class, train, calibrate."""
     usable = _usable(labels)
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     if not all(totals.get(k) for k in (0, 1)):
@@ -321,16 +367,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     by_hash = F.xxhash64(F.lit(9), "doc_id")
     picked = [usable.where(F.col("toxic") == k).orderBy(by_hash, "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample rows of two numbers
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [word_rows(t, Words()).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic")), pa.array(words, pa.binary())], names=["doc_id", "toxic", "words"])
-
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(work, "doc_id bigint, toxic int, words binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["words"]))
-    texts = [np.frombuffer(r["words"], np.int32).reshape(-1, 1 + len(STEMS)) for r in rows]
-    y = np.array([r["toxic"] for r in rows])
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    texts = docs.select("doc_id", raw.alias("text")).join(chosen, "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    texts = common.materialize(texts.withColumn("digest", F.xxhash64("text")), "toxicity-sample")
+    # Of the sample's texts those that ``SAMPLE_BYTES`` have room for, in an order that only ids and texts decide.
+    sizes = texts.groupBy("doc_id", "toxic", "digest").agg(F.max(F.length("text")).alias("size"), F.count("*").alias("n"))
+    room, taken = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for r in sorted(sizes.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["digest"])):
+        if r["size"] * r["n"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["size"] * r["n"]
+            taken.append((r["doc_id"], r["digest"]))
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id bigint, digest bigint")
+    found = texts.join(F.broadcast(wanted), ["doc_id", "digest"], "left_semi").select("doc_id", "toxic", "text").toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
+    del found
+    common.release(texts)
+    words = Words()
+    rows = [(i, label, word_rows(text, words)) for i, label, text in rows]
+    texts = [r[2] for r in rows]
+    y = np.array([r[1] for r in rows])
     held = np.arange(len(rows)) % CALIBRATE == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return Model(*[np.zeros(1)] * 4, 0.0, constant=totals[1] / (totals[0] + totals[1]))
@@ -338,34 +393,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     of_class = np.array([(y == k).sum() for k in (0, 1)])
     weights = np.array([totals[k] / of_class[k] for k in y[held]])  # classes as frequent as among all labels
     calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], y[held], weights * held.sum() / weights.sum())
-    model.trained = sorted({r["doc_id"] for r, h in zip(rows, held, strict=True) if not h})
+    model.trained = sorted({r[0] for r, h in zip(rows, held, strict=True) if not h})
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All of ``docs`` with the column ``score``."""
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """All of ``docs`` with the column ``into``."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # fixed size: ROWS * DIM numbers
     kept: dict = {}
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == into.lower()))
     names = docs.columns
+    place = names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept.get("scorer") or kept.setdefault("scorer", Scorer(pickle.loads(shared.value)))
         for batch in batches:
-            for part in common.slices(batch, "__text", 2 << 20):
-                found = own.scores(part.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(found, pa.float64())], names=[*names, "__score"])
+            for part in common.slices(batch, place, 2 << 20):
+                raw = part.column(place).cast(pa.binary())
+                found = np.concatenate([own.scores(raw.slice(k, 64).to_pylist()) for k in range(0, len(raw), 64)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*names, into])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`__score` double"])
-    return docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).mapInArrow(work, schema).withColumnRenamed("__score", "score")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{into}` double"])
+    return docs.mapInArrow(work, schema)
 
 
-def rejected(model: Model, lang: Column | None = None) -> Column:
+def rejected(model: Model, lang: Column | None = None, score: str = "score") -> Column:
     """Whether a scored row reaches the threshold of its language (that of all languages where it has none)."""
     limit = F.lit(model.thresholds.get("", 0.5))
     for language, value in sorted(model.thresholds.items()):
         if language and lang is not None:
             limit = F.when(lang == language, F.lit(value)).otherwise(limit)
-    return F.col("score") >= limit
+    return F.col(score) >= limit
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -373,4 +431,4 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (~learnable("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~learnable("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
