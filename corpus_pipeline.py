@@ -17,9 +17,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the rejection threshold of their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
-    scored = common.materialize(toxicity.score(docs, model), "pipeline-scored")
-    toxicity.set_thresholds(model, scored, labels)
-    return scored.where(~toxicity.rejected(model, F.col("lang"))).select(*docs.columns)
+    scored = common.materialize(toxicity.score(docs, model, into="__toxicity"), "pipeline-scored")
+    toxicity.set_thresholds(model, scored, labels, "__toxicity")
+    return scored.where(~toxicity.rejected(model, F.col("lang"), "__toxicity")).select(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
