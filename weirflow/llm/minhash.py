@@ -10,8 +10,8 @@ which agrees with others' in proportion to the sets alone; its bands count as we
 bucket may be a near-duplicate, and texts are linked when the Jaccard similarity of their whole
 shingle sets, computed from the texts, is at least the threshold.
 
-Work per bucket is linear where the bucket is one group: members are compared with the bucket's
-lowest id first. Buckets that this leaves in several components are compared whole: their
+Work per bucket is linear where the bucket is one group: members are compared with one of the
+bucket first. Buckets that this leaves in several components are compared whole: their
 members are cut into blocks by size, each pair of blocks is one task, which counts the shingles
 that each member shares with all others at once and gives the links that join components, never
 the pairs. So every pair that shares a bucket is either in one component or compared. Exact
@@ -19,8 +19,9 @@ copies are one representative from the start. Groups are never held in one task:
 buckets are cut into chunks.
 
 Defined cases: texts with one to four words are one shingle; null and empty texts and texts
-without words are alone in their class; documents with equal ids share a class. Ties go to the
-lowest id, which is the class id and the one document that stays. Extra columns are ignored.
+without words are alone in their class; rows with equal ids are one document, which shares the
+class of each of its texts. Ties go to the lowest id, which is the class id and the one document
+that stays; the class of a document without an id is null. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BAND = 64, 4
 #: Members compared with one hub in a task; characters of a block of an open bucket.
 CHUNK, BLOCK_CHARS = 256, 8 << 20
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _hashes: dict[bytes, int] = {}
@@ -121,7 +122,7 @@ def band_keys(rows: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def describe(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, digest of the text, signature and band keys of all texts with words."""
+    """doc_id, digest of the text and band keys of all texts with words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,10 +139,10 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
                         keys[k] = np.union1d(keys[k], own)
                 ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
                 digests = [hashlib.sha256(texts[k].encode("utf-8", "surrogatepass")).digest() for k in keep]
-                columns = [part.column("doc_id").take(pa.array(keep)), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in rows[keep]], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "signature", "bands"])
+                columns = [part.column("doc_id").take(pa.array(keep)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "bands"])
 
-    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(work, "doc_id bigint, digest binary, signature binary, bands array<bigint>")
+    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(work, "doc_id bigint, digest binary, bands array<bigint>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -222,16 +223,25 @@ def _block_links(open_members: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the lowest id of its class) of every document, as its rows stand."""
-    described = common.materialize(describe(docs, text), "minhash")
-    reps = common.materialize(described.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "minhash-reps")
-    # Two texts of one id would be one vertex: the id's classes meet, as the contract of equal ids says.
+    described = common.materialize(describe(docs, text).withColumn("rep", F.xxhash64("digest")), "minhash")
+    # Different texts are the vertices, numbered by their digests; ids come back at the end.
+    reps = common.materialize(described.groupBy("rep").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "minhash-reps")
     members = reps.select("rep", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     pairs = common.materialize(members.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    held = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
-    held = common.materialize(held.groupBy("rep").agg(F.max("text").alias("text")) if _repeats(docs) else held, "minhash-texts")
-    edges = common.materialize(verify(pairs, held, threshold).select("a", "b"), "minhash-edges")
+    repeats = _repeats(docs)
+    edges = pairs.select("a", "b")
+    wanted = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct()
+    wanted = wanted.join(reps.select("rep", F.col("id").alias("__id")), "rep")
+    raw = F.coalesce(F.col(text), F.lit(""))
+    held = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64(F.unhex(F.sha2(raw.cast("binary"), 256))).alias("rep"), raw.alias("text"))
+    held = held.join(wanted, (held.rep == wanted.rep) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select("rep", "text")
+    held = common.materialize(held.groupBy("rep").agg(F.max("text").alias("text")) if repeats else held, "minhash-texts")
+    edges = verify(pairs, held, threshold).select("a", "b")
+    if repeats:  # texts of one id are one document
+        first = described.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        edges = edges.unionByName(described.select("doc_id", F.col("rep").alias("b")).join(first, "doc_id").where("a <> b").select("a", "b").distinct())
+    edges = common.materialize(edges, "minhash-edges")
     components = common.connected_components(edges)
     near = members.join(hubs, "key").join(components, members.rep == components.node, "left")
     near = common.materialize(near.select("key", "rep", F.coalesce("component", "rep").alias("component")), "minhash-near")
@@ -240,8 +250,10 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     new = common.materialize(_block_links(near.join(still, "key").join(held, "rep"), threshold), "minhash-edges")
     if new.limit(1).count():
         components = common.connected_components(edges.unionByName(new))
-    by_digest = reps.join(components, reps.rep == components.node, "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    found = described.select("doc_id", "digest").join(by_digest, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    of_rep = common.materialize(reps.select("rep", "id").join(components, reps.rep == components.node, "left").select("rep", "id", "component"), "minhash-classes")
+    lowest = of_rep.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
+    of_rep = of_rep.join(lowest, "component", "left").select("rep", F.coalesce("lowest", "id").alias("class_id"))
+    found = described.select("doc_id", "rep").join(of_rep, "rep").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
