@@ -1,8 +1,8 @@
 """Hidden Markov language model: Baum-Welch over the corpus, scaled forward recursion for scores.
 
-Tokens are words with A-Z in lower case, then one end a text. Words whose share of the training
-tokens is at least ``HEAD`` (at most ``1 / HEAD`` words, so their table may be broadcast) are
-symbols of their own; every other word is emitted through one of ``CLASSES`` classes made of its
+Tokens are words with A-Z in lower case, then one end a text. Words that occur at least
+``sqrt(training tokens) / HEAD`` times are symbols of their own: at most ``HEAD`` times the root of
+the tokens, a table that grows with the corpus, up to ``MOST_SYMBOLS``, as it is broadcast; every other word is emitted through one of ``CLASSES`` classes made of its
 first and last bytes, and within its class in proportion to its training count plus one, words
 never seen counting together as one more of the class. A state's emissions are its expected
 counts smoothed with the corpus's; all probabilities of a step sum to one.
@@ -40,11 +40,15 @@ from weirflow.llm import common
 STATES = 5
 #: The likelihood has settled where ``STILL`` rounds in a row gain less than this share of it; after one such round it may rise again.
 SETTLED, STILL = 1e-5, 2
-#: Least share of training tokens of a word that is a symbol of its own.
-HEAD = 1e-5
+#: A word is a symbol of its own from the root of the training tokens over ``HEAD`` occurrences on.
+HEAD, MOST_SYMBOLS = 30, 2_000_000
 CLASSES = 8192
 #: Bytes of text of a chunk; words a worker remembers.
-CHUNK, REMEMBERED = 12 << 20, 1_000_000
+CHUNK, REMEMBERED = 12 << 20, 300_000
+#: Most ranges of hashes to which a chunk's words are dealt beyond the session's partitions.
+MOST_RANGES = 8192
+#: Tokens of documents whose recursions run together, and tokens that wait to be grouped by length.
+BATCH, WAITING = 1 << 20, 6 << 20
 #: Parts by which symbols' sums are dealt to tasks.
 PARTS = 16
 #: Weight of the corpus's distribution in a state's, in tokens: a share of all tokens, and at least so many.
@@ -159,7 +163,8 @@ def _summed(rows: DataFrame, width: int, spread: int = 1) -> dict[str, np.ndarra
 def count_words(chunks: DataFrame, head_count: float) -> DataFrame:
     """Sums counts by word hash. Rows of kind 0 answer a chunk (its words' counts of one hash range),
     of kind 1 hold frequent words, of kind 2 a range's number of distinct words, of kind 3 class masses."""
-    parts = common.partitions_for(chunks)
+    # As many ranges as chunks, so that what a task gathers does not grow with the corpus.
+    parts = common.partitions_for(chunks, min(MOST_RANGES, chunks.count()))
     edges = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,69 +262,87 @@ class Model:
         self.start, self.moves, self.emissions = start, moves, emissions  # (K,), (K, K), (symbols, K)
 
 
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+
+
 class Layout:
     """Tokens of many documents by position: those of all documents that have a first, then a second one, ..."""
 
-    def __init__(self, lengths: np.ndarray):
+    def __init__(self, lengths: np.ndarray, starts: np.ndarray | None = None):
         self.order = np.argsort(-lengths, kind="stable")
         sizes = lengths[self.order].astype(np.int64)
         self.steps = int(sizes[0]) if len(sizes) else 0
-        self.active = np.searchsorted(-sizes, -np.arange(self.steps), side="left") if self.steps else np.zeros(0, np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.active)])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)[self.order]
+        active = np.searchsorted(-sizes, -np.arange(self.steps), side="left") if self.steps else np.zeros(0, np.int64)
+        offsets = np.concatenate([[0], np.cumsum(active)])
+        starts = (_starts(lengths) if starts is None else starts)[self.order]
         rank = np.repeat(np.arange(len(sizes)), sizes)
         position = np.arange(int(sizes.sum())) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        self.source = np.empty(int(sizes.sum()), np.int64)
-        self.source[self.offsets[position] + rank] = np.repeat(starts, sizes) + position
+        place = offsets[position] + rank
+        self.active, self.offsets = active.tolist(), offsets.tolist()
+        self.source, self.rank = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        self.source[place], self.rank[place] = np.repeat(starts, sizes) + position, rank
 
 
-def forward(model: Model, lengths: np.ndarray, symbols: np.ndarray, keep: bool = False):
-    """log10 likelihood of each document; with ``keep`` also what the backward recursion needs."""
-    layout = Layout(lengths)
-    likely = model.emissions[symbols[layout.source]]
-    log = np.zeros(len(lengths))
-    scale = np.empty(len(layout.source), likely.dtype)
-    alphas = likely if keep else None
-    emitted = likely.copy() if keep else likely
-    alpha = np.zeros((len(lengths), len(model.start)), likely.dtype)
+def forward(model: Model, lengths: np.ndarray, symbols: np.ndarray, keep: bool = False, starts: np.ndarray | None = None):
+    """log10 likelihood of each document; with ``keep`` also what the backward recursion needs.
+
+    Arrays hold a row a state, so that all documents of a step are one vector.
+    """
+    layout = Layout(lengths, starts)
+    own = symbols[layout.source]
+    emitted = np.take(np.ascontiguousarray(model.emissions.T), own, axis=1)
+    into_state = np.ascontiguousarray(model.moves.T)
+    k, kind = len(model.start), emitted.dtype
+    alphas = np.empty_like(emitted) if keep else None
+    scale = np.empty(emitted.shape[1], kind)
+    alpha, now = np.zeros((k, len(lengths)), kind), np.empty((k, len(lengths)), kind)
     for t in range(layout.steps):
         n, a = layout.active[t], layout.offsets[t]
-        now = (np.broadcast_to(model.start, (n, len(model.start))) if t == 0 else alpha[:n] @ model.moves) * emitted[a : a + n]
-        s = now.sum(1)
-        alpha = now / s[:, None]
-        scale[a : a + n] = s
-        if keep:
-            alphas[a : a + n] = alpha
+        step, s = now[:, :n], scale[a : a + n]
+        if t:
+            np.matmul(into_state, alpha[:, :n], out=step)
+            step *= emitted[:, a : a + n]
+        else:
+            np.multiply(model.start[:, None], emitted[:, :n], out=step)
+        np.add.reduce(step, axis=0, out=s)
+        alpha = alphas[:, a : a + n] if keep else alpha[:, :n]
+        np.divide(step, s, out=alpha)
     logs = np.log10(scale, dtype=np.float64)
-    for_doc = np.zeros(len(lengths))
-    rank = np.empty(len(layout.source), np.int64)
-    for t in range(layout.steps):
-        rank[layout.offsets[t] : layout.offsets[t + 1]] = np.arange(layout.active[t])
-    for_doc[layout.order] = np.bincount(rank, logs, len(lengths)) if layout.steps else 0.0
-    log += for_doc
-    return (log, layout, alphas, emitted, scale) if keep else log
+    log = np.zeros(len(lengths))
+    if layout.steps:
+        log[layout.order] = np.bincount(layout.rank, logs, len(lengths))
+    return (log, layout, own, alphas, emitted, scale) if keep else log
 
 
-def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions (places and rows of sums) of one chunk, and its log10 likelihood."""
+def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions (places and rows of sums) of some documents, and their log10 likelihood."""
     k = len(model.start)
-    log, layout, gamma, emitted, scale = forward(model, lengths, symbols, keep=True)
+    log, layout, own, gamma, emitted, scale = forward(model, lengths, symbols, True, starts)
     moves = np.zeros((k, k))
-    back = np.ones((len(lengths), k), emitted.dtype)
+    back = np.ones((k, len(lengths)), emitted.dtype)
     for t in range(layout.steps - 1, -1, -1):
         n, a = layout.active[t], layout.offsets[t]
-        now = back[:n]
-        gamma[a : a + n] *= now
+        now = back[:, :n]
+        gamma[:, a : a + n] *= now
         if t:
-            w = emitted[a : a + n] * now / scale[a : a + n, None]
-            before = gamma[layout.offsets[t - 1] : layout.offsets[t - 1] + n]  # still the forward values
-            moves += before.T @ w
-            back[:n] = w @ model.moves.T
+            w = emitted[:, a : a + n]
+            w *= now
+            w /= scale[a : a + n]
+            b = layout.offsets[t - 1]
+            moves += gamma[:, b : b + n] @ w.T  # still the forward values
+            np.matmul(model.moves, w, out=now)
     moves *= model.moves
-    own = symbols[layout.source]
     places = np.flatnonzero(np.bincount(own, minlength=len(model.emissions)))
-    sums = np.stack([np.bincount(own, gamma[:, j], len(model.emissions))[places] for j in range(k)], 1)
-    return gamma[: layout.active[0]].sum(0, dtype=np.float64) if layout.steps else np.zeros(k), moves, places, sums, float(log.sum())
+    sums = np.stack([np.bincount(own, gamma[j], len(model.emissions))[places] for j in range(k)], 1)
+    return gamma[:, : layout.active[0]].sum(1, dtype=np.float64) if layout.steps else np.zeros(k), moves, places, sums, float(log.sum())
+
+
+def by_length(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Documents of about the same length together, about ``most`` tokens: every document takes part in most steps of its batch."""
+    order = np.argsort(-lengths, kind="stable")
+    number = np.cumsum(lengths[order], dtype=np.int64) // most
+    yield from np.split(order, np.flatnonzero(np.diff(number)) + 1)
 
 
 def maximize(starts: np.ndarray, moves: np.ndarray, at: np.ndarray, sums: np.ndarray, corpus: Corpus) -> Model:
@@ -347,15 +370,28 @@ def baum_welch(coded: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, f
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, moves, sums, log, any_ = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0, False
-        for batch in batches:
-            for held, lengths, symbols in zip(*(batch.column(c).to_pylist() for c in ("held", "lengths", "symbols")), strict=True):
-                lengths, symbols = np.frombuffer(lengths, np.int32), np.frombuffer(symbols, np.int32)
-                use = ~np.frombuffer(held, bool)
-                if not use.any():
-                    continue
-                s, m, at, e, one = expected(shared.value, lengths[use], symbols[np.repeat(use, lengths)])
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            nonlocal starts, moves, log, any_
+            if not waiting:
+                return
+            lengths, symbols = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            begins = _starts(lengths)
+            for docs in by_length(lengths, BATCH):
+                s, m, at, e, one = expected(shared.value, lengths[docs], symbols, begins[docs])
                 starts, moves, log, any_ = starts + s, moves + m, log + one, True
                 sums[at] += e
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held, lengths, symbols = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in (("held", bool), ("lengths", np.int32), ("symbols", np.int32)))
+                if not held.all():
+                    waiting.append((lengths[~held], symbols[np.repeat(~held, lengths)]))
+                if sum(len(x) for _, x in waiting) >= WAITING:
+                    settle()
+        settle()
         if any_:
             at = np.flatnonzero(sums.any(1))
             rows = list(_part_rows(at % PARTS, at, sums[at]))
@@ -394,7 +430,7 @@ def fit(docs: DataFrame, text: str = "text", states: int = STATES, rounds: int |
     """The coded corpus, the model after so many rounds or as many as the likelihood takes to settle, and the corpus's counts."""
     chunks = _store(make_chunks(docs, text), "hmm-chunks")
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    counts = count_words(chunks, HEAD * tokens)
+    counts = count_words(chunks, max(math.sqrt(tokens) / HEAD, tokens / MOST_SYMBOLS))
     corpus = Corpus(counts, tokens)
     coded = encode_chunks(chunks, counts, corpus)
     common.release(chunks)
