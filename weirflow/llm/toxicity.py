@@ -86,11 +86,12 @@ def pieces(text: str | bytes | None) -> Iterator[list[bytes]]:
         rest = part[cut:]
 
 
-def word_rows(text: str | bytes | None, words: Words) -> np.ndarray:
-    """The table's rows of a text's words, ``1 + len(STEMS)`` a word; row 0 is never a word's."""
-    found = [words.of(part) for part in pieces(text)]
+def word_rows(texts: list[str | bytes | None]) -> list[np.ndarray]:
+    """The table's rows of each text's words, ``1 + len(STEMS)`` a word; row 0 is never a word's."""
+    words = Words()
+    found = [np.concatenate([np.zeros(0, np.int64), *map(words.of, pieces(text))]) for text in texts]
     rows = np.array(words.rows, np.int32)
-    return np.concatenate([np.zeros((0, 1 + len(STEMS)), np.int32), *(rows[f] for f in found)])
+    return [rows[numbers] for numbers in found]
 
 
 @dataclass
@@ -382,9 +383,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
     del found
     common.release(texts)
-    words = Words()
-    rows = [(i, label, word_rows(text, words)) for i, label, text in rows]
-    texts = [r[2] for r in rows]
+    texts = word_rows([r[2] for r in rows])
     y = np.array([r[1] for r in rows])
     held = np.arange(len(rows)) % CALIBRATE == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
