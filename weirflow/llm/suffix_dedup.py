@@ -18,8 +18,10 @@ windows; all but the earliest are marked.
 Data flow: texts are written once in row groups ("units") to the shared folder; no text is
 shuffled. A unit's repeats within itself are settled first, so that an anchor leaves a unit once
 per different string however often it occurs there; exact copies of whole texts are settled by
-digest before that. Anchors are dealt by hash, those met in one place only are dropped, and only
-strings around the others move.
+digest before that. Anchors are dealt by hash to as many ranges as there are units, those met in one
+place only are dropped, and only strings around the others move. Strings of an anchor that is met
+very often go by the bytes around it as well, which equal windows share, so they are many groups.
+Columns' files are in the shared folder, below one path a query.
 
 Defined cases: a null text is empty; texts under 100 bytes lose nothing; equal ids are ordered by
 their place in the written table; an empty table gives no rows. Extra columns are ignored.
@@ -28,9 +30,7 @@ their place in the written table; an empty table gives no rows. Extra columns ar
 from __future__ import annotations
 
 import hashlib
-import os
-import shutil
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,7 +48,9 @@ GRAMS = SPAN - GRAM + 1
 #: Bytes of a string around an anchor, and where the anchor stands in it.
 WIDTH, CENTRE = GRAMS - 1 + SPAN, GRAMS - 1
 #: Text bytes hashed together, strings sorted together, and bytes of a unit.
-PIECE, TOGETHER, UNIT = 1 << 20, 1 << 16, 16 << 20
+PIECE, TOGETHER, UNIT = 1 << 20, 1 << 15, 8 << 20
+#: An anchor with more strings than this is split: by ``STRIDE`` distances at a time and the bytes that their windows share.
+HOT, STRIDE = 4096, 5
 #: Most tasks over units.
 MOST_TASKS = 100_000
 
@@ -177,27 +179,39 @@ def strings_of(anchors: np.ndarray, texts: list[bytes], doc_ids: np.ndarray) ->
 
 
 class ColumnFiles:
-    """Sequential files of one construction, in a folder of the task that is removed at its end."""
+    """Sequential files of one construction, in a folder of their own below ``root`` that is removed at its end; without ``root`` in memory."""
 
-    def __init__(self, text: np.ndarray):
-        self.folder = tempfile.mkdtemp(prefix="columns-")
-        self.rows = len(text)
-        np.ascontiguousarray(text.T).tofile(self._path("symbols"))
-
-    def _path(self, name: str) -> str:
-        return os.path.join(self.folder, name)
+    def __init__(self, text: np.ndarray, root: str | None):
+        self.rows, self.held = len(text), {}
+        self.store = None
+        if root:
+            self.store, inner = fs.FileSystem.from_uri(root)
+            self.folder = f"{inner}/columns-{uuid.uuid4().hex}"
+            self.store.create_dir(self.folder)
+        self.write("symbols", np.ascontiguousarray(text.T))
 
     def column(self, j: int) -> np.ndarray:
-        return np.fromfile(self._path("symbols"), np.uint8, self.rows, offset=j * self.rows)
+        if not self.store:
+            return self.held["symbols"][j]
+        with self.store.open_input_file(f"{self.folder}/symbols") as f:
+            return np.frombuffer(f.read_at(self.rows, j * self.rows), np.uint8)
 
     def read(self, name: str, kind) -> np.ndarray:
-        return np.fromfile(self._path(name), kind)
+        if not self.store:
+            return self.held[name]
+        with self.store.open_input_stream(f"{self.folder}/{name}") as f:
+            return np.frombuffer(f.read(), kind)
 
     def write(self, name: str, values: np.ndarray) -> None:
-        values.tofile(self._path(name))
+        if not self.store:
+            self.held[name] = values
+            return
+        with self.store.open_output_stream(f"{self.folder}/{name}") as f:
+            f.write(values)
 
     def remove(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        if self.store:
+            self.store.delete_dir(self.folder)
 
 
 def _range_minimum(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -216,23 +230,23 @@ def _range_minimum(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> n
     return out
 
 
-def columns(text: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def columns(text: np.ndarray, group: np.ndarray, root: str | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Sorts all suffixes of equally long strings, group by group, one column after the other from the last.
 
     Yields each column with the order of the suffixes that begin there and the common prefix of
     each with the one before (0 at the beginning of a group). ``group`` holds non-negative numbers.
     """
-    files = ColumnFiles(text)
+    files = ColumnFiles(text, root)
     try:
         m = len(group)
         order = np.argsort(group, kind="stable")
         _, sizes = np.unique(group, return_counts=True)
         number = np.repeat(np.arange(len(sizes)), sizes)  # of the group at each place; places of a group stay together
         begins = np.concatenate([[True], number[1:] != number[:-1]]) if m else np.zeros(0, bool)
-        files.write("order", order.astype(np.int64))
+        files.write("order", order.astype(np.int32))
         files.write("prefixes", np.zeros(m, np.uint8))
         for j in range(text.shape[1] - 1, -1, -1):
-            order, prefixes = files.read("order", np.int64), files.read("prefixes", np.uint8)
+            order, prefixes = files.read("order", np.int32), files.read("prefixes", np.uint8)
             bwt = files.column(j)[order]  # the symbol before each suffix, in the suffixes' order
             files.write("bwt", bwt)
             place = np.argsort(number * 256 + bwt, kind="stable")  # new places: by group, symbol, old place
@@ -250,7 +264,7 @@ def columns(text: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarr
         files.remove()
 
 
-def mark_repeats(strings: np.ndarray, unit: np.ndarray) -> np.ndarray:
+def mark_repeats(strings: np.ndarray, unit: np.ndarray, root: str | None = None) -> np.ndarray:
     """For each string a row of GRAMS flags: whether the window at that distance before the anchor is a repeat."""
     marked = np.zeros((len(strings), GRAMS), bool)
     if not len(strings):
@@ -265,7 +279,7 @@ def mark_repeats(strings: np.ndarray, unit: np.ndarray) -> np.ndarray:
     while a < len(ends) - 1:  # whole groups, some strings together
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + TOGETHER, side="right")) - 1)
         part = by_group[ends[a] : ends[b]]
-        for j, order, prefixes in columns(strings["text"][part], group[part]):
+        for j, order, prefixes in columns(strings["text"][part], group[part], root):
             distance = CENTRE - j
             if distance < 0:
                 continue
@@ -283,6 +297,23 @@ def mark_repeats(strings: np.ndarray, unit: np.ndarray) -> np.ndarray:
     return marked
 
 
+def split_by_context(strings: np.ndarray) -> np.ndarray:
+    """The strings once for each ``STRIDE`` distances that they have windows at; the hash tells apart the bytes these windows share."""
+    found = [strings[:0]]
+    for a in range(0, GRAMS, STRIDE):
+        b = min(a + STRIDE, GRAMS) - 1
+        part = strings[(strings["lo"] <= b) & (strings["hi"] >= a)].copy()
+        part["lo"], part["hi"] = np.maximum(part["lo"], a), np.minimum(part["hi"], b)
+        common_bytes = part["text"][:, CENTRE - a : CENTRE - b + SPAN].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            up = np.multiply.accumulate(np.full(common_bytes.shape[1], _B & (2**64 - 1), np.uint64))
+            h = part["hash"] ^ (common_bytes * up).sum(1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(a)
+        part["hash"] = h ^ (h >> np.uint64(29))
+        found.append(part)
+    return np.concatenate(found)
+
+
 def marks_of(strings: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """Runs of marked windows."""
     wide = np.zeros((len(marked), GRAMS + 2), np.int8)
@@ -379,7 +410,8 @@ def _each_unit(units: DataFrame, news: DataFrame | None, work: Callable[[int, st
 def duplicated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, str]:
     """Units, and for each unit its rows of kinds ``copy`` (whole texts) and ``mark`` (windows) that are repeats."""
     units, path = write_units(docs, text)
-    parts = common.partitions_for(docs)
+    parts = common.partitions_for(docs, min(MOST_TASKS, units.count()))  # a range weighs about what a unit does
+    root = common.new_path(docs.sparkSession, "suffix-columns")
 
     def whole(unit: int, path: str, group: int, _: pa.Table) -> pa.Table:
         ids, texts, _ = read_unit(path, group)
@@ -409,7 +441,7 @@ def duplicated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
         rows = [(unit, unit, "copy", copies.tobytes())] if len(copies) else []
         if len(twice):
             strings = strings_of(twice, texts, ids)
-            marked = mark_repeats(strings, np.zeros(len(strings), np.int64))
+            marked = mark_repeats(strings, np.zeros(len(strings), np.int64), root)
             rows.append((unit, unit, "mark", marks_of(strings, marked).tobytes()))
             # Only windows that are not settled go on: the stretch of distances that holds them.
             distance = np.arange(GRAMS)
@@ -432,22 +464,24 @@ def duplicated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
             new = np.concatenate([[True], values["hash"][1:] != values["hash"][:-1]])
             number = np.cumsum(new) - 1
             first = np.flatnonzero(new)
-            several = np.minimum.reduceat(unit, first) != np.maximum.reduceat(unit, first)
-            rows += _by_unit(values[several[number]], unit[several[number]], "anchor")
+            several = (np.minimum.reduceat(unit, first) != np.maximum.reduceat(unit, first))[number]
+            hot = (np.bincount(number) > HOT)[number]
+            for kind, use in (("anchor", several & ~hot), ("hot", several & hot)):
+                rows += _by_unit(values[use], unit[use], kind)
         return _rows(rows)
 
     def strings(unit: int, path: str, group: int, news: pa.Table) -> pa.Table:
-        keep = [(unit, unit, k, d) for k, d in zip(news.column("kind").to_pylist(), news.column("data").to_pylist(), strict=True) if k != "anchor"]
-        anchors, _ = _of(news, "anchor", ANCHOR)
-        if len(anchors):
+        keep = [(unit, unit, k, d) for k, d in zip(news.column("kind").to_pylist(), news.column("data").to_pylist(), strict=True) if k not in ("anchor", "hot")]
+        anchors, hot = (_of(news, kind, ANCHOR)[0] for kind in ("anchor", "hot"))
+        if len(anchors) or len(hot):
             ids, texts, _ = read_unit(path, group)
-            keep += _deal(strings_of(anchors, texts, ids), parts, unit, "string")
+            keep += _deal(np.concatenate([strings_of(anchors, texts, ids), split_by_context(strings_of(hot, texts, ids))]), parts, unit, "string")
         return _rows(keep)
 
     def construct(table: pa.Table) -> pa.Table:
         rows = [(-1, u, k, d) for k, u, d in zip(table.column("kind").to_pylist(), table.column("unit").to_pylist(), table.column("data").to_pylist(), strict=True) if k != "string"]
         values, unit = _of(table, "string", STRING)
-        marked = mark_repeats(values, unit)
+        marked = mark_repeats(values, unit, root)
         for u in np.unique(unit):
             own = unit == u
             marks = marks_of(values[own], marked[own])
