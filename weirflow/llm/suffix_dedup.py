@@ -369,10 +369,12 @@ def _rows(rows: list[tuple[int, int, str, bytes]]) -> pa.Table:
 
 
 def _deal(values: np.ndarray, parts: int, unit: int, kind: str) -> list[tuple[int, int, str, bytes]]:
-    """Values by the range of their hash."""
+    """Values by the range of their mixed hash."""
     if not len(values):
         return []
-    dest = (values["hash"] >> np.uint64(32)).astype(np.int64) * parts >> 32
+    mixed = values["hash"] * np.uint64(0x9E3779B97F4A7C15)  # anchors are least hashes: most are small
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    dest = (mixed >> np.uint64(32)).astype(np.int64) * parts >> 32
     order = np.argsort(dest, kind="stable")
     found, firsts = np.unique(dest[order], return_index=True)
     return [(int(d), unit, kind, values[i].tobytes()) for d, i in zip(found, np.split(order, firsts[1:]), strict=True)]
