@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +56,26 @@ PARTS = 16
 PRIOR_SHARE, PRIOR_LEAST = 1e-4, 50.0
 END = b"\n"  # no word holds white space
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _known: dict[bytes, tuple[int, int]] = {}
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words of the text, and the end."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    return [w for w in raw.split(b" ") if w] + [END]
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Tokens a text, all tokens as places in a list of distinct words, and that list, the end last.
+
+    Arrow's white space is the contract's, and its lower case is of A-Z only.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at least one, maybe empty, word a text
+    flat = split.flatten()
+    word = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64)
+    lengths = np.add.reduceat(word.astype(np.int64), starts) + 1 if len(starts) else np.zeros(0, np.int64)
+    coded = flat.filter(pa.array(word)).dictionary_encode()
+    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    tokens = np.full(int(lengths.sum()), len(words) - 1, np.int32)
+    inner = np.ones(len(tokens), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    tokens[inner] = coded.indices.to_numpy(zero_copy_only=False)
+    return lengths, tokens, words
 
 
 def _hash_class(word: bytes) -> tuple[int, int]:
@@ -89,22 +102,14 @@ def make_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
             for part in common.slices(batch, "text", CHUNK):
                 if len(_known) > REMEMBERED:
                     _known.clear()
-                place: dict[bytes, int] = {}
-                tokens, lengths = [], []
-                for t in part.column("text").to_pylist():
-                    words = words_of(t)
-                    for w in set(words):
-                        if w not in place:
-                            place[w] = len(place)
-                            if w not in _known:
-                                _known[w] = _hash_class(w)
-                    tokens.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-                    lengths.append(len(words))
+                lengths, flat, words = tokens_of(part.column("text"))
+                for w in words:
+                    if w not in _known:
+                        _known[w] = _hash_class(w)
                 held = np.array(part.column("held").to_pylist(), bool)
-                flat = np.concatenate(tokens)
                 trains = np.repeat(~held, lengths)
-                counts = np.bincount(flat[trains], minlength=len(place)).astype(np.int32)
-                hashes, classes = (np.array(x) for x in zip(*(_known[w] for w in place), strict=True))
+                counts = np.bincount(flat[trains], minlength=len(words)).astype(np.int32)
+                hashes, classes = (np.array(x) for x in zip(*map(_known.__getitem__, words), strict=True))
                 hashes = hashes.astype(np.uint64)
                 order = np.argsort(hashes, kind="stable")
                 back = np.empty_like(order)
