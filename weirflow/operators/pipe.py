@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weirflow.functions import monoid
-from weirflow.operators.params import IterationOrder, Params
+from weirflow.operators.params import IterationOrder, Params, environment_bound
 from weirflow.plans.order import ORD, dense_index, extended, key_of, tree_fold
 
 
@@ -75,7 +75,8 @@ class Pipe:
     def over(cls, df: DataFrame, key: list[str], items: list[str] | None = None) -> Pipe:
         """``key`` must be unique over the rows; items are all columns unless named."""
         items = list(items if items is not None else df.columns)
-        return cls(df.select(key_of(key), *items), tuple(items))
+        pipe, bound = cls(df.select(key_of(key), *items), tuple(items)), environment_bound()
+        return pipe.num_threads(bound) if bound else pipe
 
     # -- knobs
 
@@ -99,9 +100,29 @@ class Pipe:
         self.df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", name)
         return self
 
+    def with_runner(self, run: Callable[[DataFrame], DataFrame]) -> Pipe:
+        """The stages so far as ``run`` wants them computed: a function of their DataFrame to one of the same rows and columns.
+
+        Spark's scheduler deals out tasks itself; what a caller can choose is where a stage ends and
+        how its rows are spread (``repartition``, ``persist``, a written table, hints).
+        """
+        df = run(self.df)
+        if df.columns != self.df.columns:
+            raise ValueError("a runner must keep the columns")
+        return replace(self, df=df)
+
     def diagnostics(self) -> DataFrame:
-        """Rows of each partition: (partition, rows)."""
-        return self.df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("rows"))
+        """One row a task: (partition, rows, calls, mean_batch, largest_batch) of the batches that Python closures are handed."""
+        params = self.params
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            sizes = [len(b) for b in params.batches(batches)]
+            row = (TaskContext.get().partitionId(), sum(sizes), len(sizes), sum(sizes) / len(sizes) if sizes else 0.0, max(sizes, default=0))
+            yield pd.DataFrame([row], columns=["partition", "rows", "calls", "mean_batch", "largest_batch"])
+
+        return self.df.select(F.lit(1).alias("x")).mapInPandas(work, "partition int, rows bigint, calls bigint, mean_batch double, largest_batch bigint")
 
     # -- element-wise
 
@@ -179,10 +200,10 @@ class Pipe:
 
     def filter_py(self, f: Callable[..., bool]) -> Pipe:
         schema = ", ".join(f"`{n}` {self.df.schema[n].dataType.simpleString()}" for n in self.items)
-        names = list(self.items)
+        names, params = list(self.items), self.params
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in params.batches(batches):
                 yield batch[[bool(f(**dict(zip(names, row, strict=True)))) for row in batch[names].itertuples(index=False, name=None)]]
 
         df = self.df.mapInPandas(work, f"{ORD} {self.df.schema[ORD].dataType.simpleString()}, {schema}")
@@ -205,10 +226,10 @@ class Pipe:
             taken = batch.iloc[of].reset_index(drop=True)
             return pd.concat([taken[[ORD]], pd.DataFrame({"__at": at}, dtype="int32"), made], axis=1)
 
-        order = self.df.schema[ORD].dataType.simpleString()
+        order, params = self.df.schema[ORD].dataType.simpleString(), self.params
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in params.batches(batches):
                 yield spread(batch)
 
         df = self.df.mapInPandas(work, f"{ORD} {order}, __at int, {schema}")

@@ -40,6 +40,19 @@ def par_rec(roots: DataFrame, extend: Callable[[DataFrame], DataFrame], most_lev
     return Pipe(found.select(order.alias(ORD), *columns, "depth"), (*columns, "depth"))
 
 
+class OtherLength(ValueError):
+    """A traversal did not have the number of elements that was promised."""
+
+
+def par_rec_exact(roots: DataFrame, extend: Callable[[DataFrame], DataFrame], length: int, most_levels: int = 1000) -> Pipe:
+    """``par_rec`` where the number of elements, roots included, is known beforehand; another number is an error."""
+    pipe = par_rec(roots, extend, most_levels)
+    found = pipe.df.count()
+    if found != length:
+        raise OtherLength(f"{found} elements, not {length}")
+    return pipe
+
+
 def par_rec_edges(roots: DataFrame, edges: DataFrame, node: str = "node", parent: str = "parent", child: str = "child", prune: Callable | None = None, most_levels: int = 1000) -> Pipe:
     """``par_rec`` over a table of edges. ``prune``: a predicate on (parent, child) that children must meet."""
 

@@ -12,9 +12,12 @@ from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weirflow.operators.fallible import ERR, OptionPipe, ResultPipe
+from weirflow.operators.params import IterationOrder
 from weirflow.operators.pipe import Pipe
 from weirflow.plans.order import ORD, extended
 
@@ -60,10 +63,8 @@ class UsingPipe:
 
     cloned = copied
 
-    def into(self, schema: str) -> Pipe:
-        """The ordinary pipeline of the results, whose columns ``schema`` names."""
-        names, out = list(self.source.items), StructType.fromDDL(schema).names
-        make, steps = self.make, self.steps
+    def _through(self) -> Callable[[object, dict], list[dict]]:
+        steps = self.steps
 
         def through(state: object, x: dict) -> list[dict]:
             rows = [x]
@@ -83,9 +84,16 @@ class UsingPipe:
                 rows = after
             return rows
 
+        return through
+
+    def into(self, schema: str) -> Pipe:
+        """The ordinary pipeline of the results, whose columns ``schema`` names; all its reductions and early exits follow."""
+        names, out = list(self.source.items), StructType.fromDDL(schema).names
+        make, through, params = self.make, self._through(), self.source.params
+
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state = make(TaskContext.get().partitionId())
-            for batch in batches:
+            for batch in params.batches(batches):
                 made, of, at = [], [], []
                 for k, row in enumerate(batch[names].itertuples(index=False, name=None)):
                     for j, r in enumerate(through(state, dict(zip(names, row, strict=True)))):
@@ -98,3 +106,69 @@ class UsingPipe:
         order = self.source.df.schema[ORD].dataType.simpleString()
         df = self.source.df.mapInPandas(work, f"{ORD} {order}, __at int, {schema}")
         return Pipe(df.select(extended(F.col("__at")).alias(ORD), *out), tuple(out), self.source.params)
+
+    def into_fallible_result(self, f: Callable, schema: str) -> ResultPipe:
+        """``f(state, **values)`` returns ``(values, None)`` or ``(None, error)``; elements with an error fail the whole computation."""
+        names = StructType.fromDDL(schema).names
+
+        def told(state: object, **x) -> dict:
+            values, error = f(state, **x)
+            return {**(values if error is None else dict.fromkeys(names)), ERR: error}
+
+        made = self.map(told).into(f"{schema}, `{ERR}` string")
+        return ResultPipe(made.df, tuple(names), made.params)
+
+    def into_fallible_option(self, f: Callable, schema: str) -> OptionPipe:
+        """``f(state, **values)`` returns the values, or None for an absent element, which makes the whole result absent."""
+        names = StructType.fromDDL(schema).names
+
+        def told(state: object, **x) -> dict:
+            values = f(state, **x)
+            return {**(dict.fromkeys(names) if values is None else values), ERR: values is None or None}
+
+        made = self.map(told).into(f"{schema}, `{ERR}` boolean")
+        return OptionPipe(made.df, tuple(names), made.params)
+
+    def reduce(self, f: Callable, schema: str) -> DataFrame:
+        """One row of ``schema``, NULLs for no elements: all results combined by ``f(state, a, b)``, associative, of values to values.
+
+        Each task folds its rows, in order unless the order is arbitrary, with its own state; the
+        tasks' results, one row each, are folded by one more task with a state of its own.
+        """
+        names, out = list(self.source.items), StructType.fromDDL(schema).names
+        make, through, params = self.make, self._through(), self.source.params
+        df = self.source.df
+        if params.order is IterationOrder.ORDERED:
+            df = df.repartitionByRange(ORD).sortWithinPartitions(ORD)
+
+        def folding(columns: list[str], results: Callable[[object, dict], list[dict]]) -> Callable:
+            def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                part = TaskContext.get().partitionId()
+                state, held = make(part), None
+                for batch in params.batches(batches):
+                    for row in batch[columns].itertuples(index=False, name=None):
+                        for x in results(state, dict(zip(columns, row, strict=True))):
+                            held = x if held is None else f(state, held, x)
+                if held is not None:
+                    yield pd.DataFrame([[part, *(held[n] for n in out)]], columns=["__part", *out])
+
+            return work
+
+        partial = df.mapInPandas(folding(names, through), f"__part int, {schema}")
+        # As many rows as there are tasks.
+        whole = partial.repartition(1).sortWithinPartitions("__part").mapInPandas(folding(out, lambda _, x: [x]), f"__part int, {schema}")
+        return whole.agg(F.first(F.struct(*out)).alias("x")).select(*(F.col("x")[n].alias(n) for n in out))
+
+    def for_each(self, f: Callable) -> None:
+        """``f(state, **values)`` for every result, on the executors."""
+        make, through, names, params = self.make, self._through(), list(self.source.items), self.source.params
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state = make(TaskContext.get().partitionId())
+            for batch in params.batches(batches):
+                for row in batch[names].itertuples(index=False, name=None):
+                    for x in through(state, dict(zip(names, row, strict=True))):
+                        f(state, **x)
+            yield from ()
+
+        self.source.df.mapInPandas(work, "done int").write.format("noop").mode("overwrite").save()

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.operators.mutate import par_drain, update_where
 from weirflow.operators.pipe import Maybe, Pipe
-from weirflow.operators.recursive import linearize, par_rec_edges
+from weirflow.operators.recursive import linearize, par_rec_edges, par_rec_exact
 from weirflow.sources import par, par_empty, par_iter, par_range
 
 #: Unique order keys; of lineitem no shorter one is.
@@ -534,5 +534,281 @@ def diagnostics_rows(spark, d):
     return table(spark, d, "orders").diagnostics().agg(F.sum("rows").alias("rows"))
 
 
+# -- terminals and transformations not met above
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 1")
+def collect_arbitrary(spark, d):
+    return table(spark, d, "orders", ["o_orderkey"]).iteration_order("arbitrary").filter(lambda x: x.o_orderkey % 5 == 1).collect()
+
+
+def _told(spark, **values) -> DataFrame:
+    """One row of whole numbers that a run left behind."""
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} long" for n in values))
+
+
+@query("SELECT count(*) AS calls, sum(o_custkey)::BIGINT AS total FROM orders")
+def for_each_seen(spark, d):
+    calls, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def see(rows):
+        for row in rows:
+            calls.add(1)
+            total.add(row["o_custkey"])
+
+    table(spark, d, "orders", ["o_custkey"]).for_each(see)
+    return _told(spark, calls=calls.value, total=total.value)
+
+
+@query("SELECT count(*) AS rows, sum(o_custkey)::BIGINT AS total FROM orders WHERE o_orderkey % 2 = 0")
+def inspect_metric(spark, d):
+    seen = Observation()
+    pipe = table(spark, d, "orders").filter(lambda x: x.o_orderkey % 2 == 0).inspect(seen, rows=F.count(F.lit(1)), total=F.sum("o_custkey"))
+    pipe.to_df().write.format("noop").mode("overwrite").save()
+    return _told(spark, **{n: seen.get[n] for n in ("rows", "total")})
+
+
+@query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS value FROM orders WHERE o_orderkey % 3 = 0")
+def result_filter_map(spark, d):
+    return _parsed(spark, d, 0).filter_map(lambda x: Maybe(x.n % 3 == 0, F.when(x.n % 2 == 0, x.n))).collect()
+
+
+@query("SELECT count(*) AS rows FROM orders")
+def result_inspect(spark, d):
+    seen = Observation()
+    _parsed(spark, d, 0).inspect(seen, rows=F.count(F.lit(1))).collect().write.format("noop").mode("overwrite").save()
+    return _told(spark, rows=seen.get["rows"])
+
+
+@query("SELECT p_partkey AS n FROM part UNION ALL SELECT o_orderkey FROM orders")
+def result_collect_into(spark, d):
+    return _parsed(spark, d, 0).collect_into(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n")))
+
+
+@query("SELECT p_partkey AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 700 = 650)")
+def result_collect_into_err(spark, d):
+    taken = _parsed(spark, d, 700).filter(lambda x: x.n < 0)
+    return taken.collect_into(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n")))
+
+
+@query("SELECT count(*) AS calls FROM orders")
+def result_for_each(spark, d):
+    calls = spark.sparkContext.accumulator(0)
+    _parsed(spark, d, 0).for_each(lambda rows: calls.add(sum(1 for _ in rows)))
+    return _told(spark, calls=calls.value)
+
+
+@query("SELECT min(o_orderkey) AS value, CAST(NULL AS VARCHAR) AS err FROM orders")
+def result_min(spark, d):
+    return _parsed(spark, d, 0).min("n")
+
+
+@query("SELECT o_orderkey AS n, CAST(NULL AS VARCHAR) AS err FROM orders ORDER BY o_orderkey % 89, o_orderkey LIMIT 1")
+def result_min_by_key(spark, d):
+    return _parsed(spark, d, 0).min_by_key(lambda x: x.n % 89)
+
+
+@query("SELECT o_orderkey AS n, CAST(NULL AS VARCHAR) AS err FROM orders ORDER BY o_orderkey % 83, o_orderkey LIMIT 1")
+def result_min_by(spark, d):
+    return _parsed(spark, d, 0).min_by(lambda a, b: a.n % 83 - b.n % 83)
+
+
+@query("SELECT o_orderkey AS n, CAST(NULL AS VARCHAR) AS err FROM orders ORDER BY o_orderkey % 79 DESC, o_orderkey LIMIT 1")
+def result_max_by(spark, d):
+    return _parsed(spark, d, 0).max_by(lambda a, b: a.n % 79 - b.n % 79)
+
+
+@query("SELECT min(o_orderkey) AS n, CAST(NULL AS VARCHAR) AS err FROM orders")
+def result_first(spark, d):
+    return _parsed(spark, d, 0).first()
+
+
+@query("SELECT sum(o_orderkey)::BIGINT AS value, CAST(NULL AS VARCHAR) AS err FROM orders")
+def result_knobs(spark, d):
+    return _parsed(spark, d, 0).num_threads(2).chunk_size(16).iteration_order("arbitrary").with_pool("bulk").sum("n")
+
+
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+@query(f"SELECT unnest([k + 1, -k]) AS value FROM (SELECT {_K} AS k FROM events) WHERE k % 2 = 0 AND k % 3 = 0")
+def option_chain(spark, d):
+    pipe = _option(spark, d, False).inspect("options", rows=F.count(F.lit(1))).filter(lambda x: x.k % 2 == 0)
+    return pipe.filter_map(lambda x: Maybe(x.k % 3 == 0, x.k)).map(lambda x: {"k": x.value}).flat_map(lambda x: F.array(x.k + 1, -x.k)).collect()
+
+
+@query("SELECT count(*) AS value, false AS absent FROM events")
+def option_count(spark, d):
+    return _option(spark, d, False).count()
+
+
+@query(f"SELECT bit_xor({_K}) AS value, false AS absent FROM events")
+def option_reduce(spark, d):
+    return _option(spark, d, False).reduce(lambda a, b: a.bitwiseXOR(b), "k", commutative=True)
+
+
+@query("SELECT true AS value, false AS absent")
+def option_all(spark, d):
+    return _option(spark, d, False).all(lambda x: x.k.isNotNull())
+
+
+@query(f"SELECT count(*) > 0 AS value, false AS absent FROM events WHERE {_K} = 3")
+def option_any(spark, d):
+    return _option(spark, d, False).any(lambda x: x.k == 3)
+
+
+@query(f"SELECT min({_K}) AS value, false AS absent FROM events")
+def option_min(spark, d):
+    return _option(spark, d, False).min("k")
+
+
+@query(f"SELECT max({_K}) AS value, false AS absent FROM events")
+def option_max(spark, d):
+    return _option(spark, d, False).max("k")
+
+
+@query(f"SELECT {_K} AS k, false AS absent FROM events ORDER BY {_K} % 7, event_id LIMIT 1")
+def option_min_by_key(spark, d):
+    return _option(spark, d, False).min_by_key(lambda x: x.k % 7)
+
+
+@query(f"SELECT {_K} AS k, false AS absent FROM events ORDER BY {_K} % 7 DESC, event_id LIMIT 1")
+def option_max_by_key(spark, d):
+    return _option(spark, d, False).max_by_key(lambda x: x.k % 7)
+
+
+@query(f"SELECT {_K} AS k, false AS absent FROM events ORDER BY {_K} % 11, event_id LIMIT 1")
+def option_min_by(spark, d):
+    return _option(spark, d, False).min_by(lambda a, b: a.k % 11 - b.k % 11)
+
+
+@query(f"SELECT {_K} AS k, false AS absent FROM events ORDER BY {_K} % 11 DESC, event_id LIMIT 1")
+def option_max_by(spark, d):
+    return _option(spark, d, False).max_by(lambda a, b: a.k % 11 - b.k % 11)
+
+
+@query(f"SELECT {_K} AS k, false AS absent FROM events WHERE {_K} % 5 = 4 ORDER BY event_id LIMIT 1")
+def option_find(spark, d):
+    return _option(spark, d, False).find(lambda x: x.k % 5 == 4)
+
+
+@query("SELECT count(*) AS calls FROM events")
+def option_for_each(spark, d):
+    calls = spark.sparkContext.accumulator(0)
+    _option(spark, d, False).for_each(lambda rows: calls.add(sum(1 for _ in rows)))
+    return _told(spark, calls=calls.value)
+
+
+# -- state a partition, read
+
+
+@query("SELECT c_custkey, true AS drawn FROM customer")
+def using_rng_rows(spark, d):
+    import random
+
+    def step(rng, c_custkey):
+        return {"c_custkey": c_custkey, "drawn": 0 <= rng.random() < 1}
+
+    return table(spark, d, "customer", ["c_custkey"]).using(lambda k: random.Random(k)).map(step).into("c_custkey long, drawn boolean").collect()
+
+
+@query("SELECT i AS n FROM range(1, (SELECT count(*) FROM customer)::BIGINT + 1) t(i)")
+def using_state_counts(spark, d):
+    def count(state, c_custkey):
+        state["n"] += 1
+        return {"n": state["n"]}
+
+    return table(spark, d, "customer", ["c_custkey"]).num_threads(1).using_clone({"n": 0}).map(count).into("n long").collect()
+
+
+@query("SELECT unnest([c_custkey, c_custkey * 2]) AS v FROM customer WHERE c_custkey % 2 = 0")
+def using_flat(spark, d):
+    pipe = table(spark, d, "customer", ["c_custkey"]).using_clone([2]).copied().inspect(lambda s, c_custkey: s.append(0) if len(s) < 3 else None)
+    pipe = pipe.filter_map(lambda s, c_custkey: {"v": [c_custkey, c_custkey * s[0]]} if c_custkey % s[0] == 0 else None).flatten("v")
+    return pipe.flat_map(lambda s, v: [{"v": v}]).cloned().into("v long").collect()
+
+
+@query("SELECT bit_xor(c_custkey * 3) AS v FROM customer")
+def using_reduce(spark, d):
+    return table(spark, d, "customer", ["c_custkey"]).using_clone(3).map(lambda s, c_custkey: {"v": c_custkey * s}).reduce(lambda s, a, b: {"v": a["v"] ^ b["v"]}, "v long")
+
+
+@query("SELECT string_agg(n_name, '' ORDER BY n_nationkey) AS v FROM nation")
+def using_reduce_ordered(spark, d):
+    return table(spark, d, "nation", ["n_name"]).using_clone("").map(lambda s, n_name: {"v": n_name}).reduce(lambda s, a, b: {"v": a["v"] + s + b["v"]}, "v string")
+
+
+@query("SELECT count(*) AS calls, sum(c_custkey)::BIGINT AS total FROM customer WHERE c_custkey % 4 = 0")
+def using_for_each(spark, d):
+    calls, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def see(state, c_custkey):
+        calls.add(1)
+        total.add(c_custkey)
+
+    table(spark, d, "customer", ["c_custkey"]).using_clone(4).filter(lambda s, c_custkey: c_custkey % s == 0).for_each(see)
+    return _told(spark, calls=calls.value, total=total.value)
+
+
+@query("SELECT count(*) AS n, sum(v)::BIGINT AS s, min(v) AS lo, max(v) AS hi, bool_and(v > 0) AS every, bool_or(v % 10 = 7) AS some, (SELECT min(c_custkey * 2) FROM customer) AS first, (SELECT c_custkey * 2 FROM customer WHERE c_custkey > 20 ORDER BY c_custkey LIMIT 1) AS found, (SELECT c_custkey * 2 FROM customer ORDER BY c_custkey * 2 % 31, c_custkey LIMIT 1) AS least, (SELECT c_custkey * 2 FROM customer ORDER BY c_custkey * 2 % 29 DESC, c_custkey LIMIT 1) AS most FROM (SELECT c_custkey * 2 AS v FROM customer)")
+def using_terminals(spark, d):
+    pipe = table(spark, d, "customer", ["c_custkey"]).using_clone(2).map(lambda s, c_custkey: {"v": c_custkey * s}).into("v long")
+    parts = [pipe.count("n"), pipe.sum(name="s"), pipe.min(name="lo"), pipe.max(name="hi"), pipe.all(lambda x: x.v > 0, "every"), pipe.any(lambda x: x.v % 10 == 7, "some")]
+    named = [(pipe.first(), "first"), (pipe.find(lambda x: x.v > 40), "found"), (pipe.min_by_key(lambda x: x.v % 31), "least"), (pipe.max_by_key(lambda x: x.v % 29), "most")]
+    parts += [df.withColumnRenamed("v", name) for df, name in named]
+    out = parts[0]
+    for part in parts[1:]:  # one row each
+        out = out.select("*", *(part.select(c).scalar().alias(c) for c in part.columns))
+    return out
+
+
+@query("SELECT sum(c_custkey * 5)::BIGINT AS value, CAST(NULL AS VARCHAR) AS err FROM customer")
+def using_result_sum(spark, d):
+    return table(spark, d, "customer", ["c_custkey"]).using_clone(5).into_fallible_result(lambda s, c_custkey: ({"v": c_custkey * s}, None), "v long").sum("v")
+
+
+@query("SELECT CASE WHEN b IS NULL THEN s END AS value, b || '?' AS err FROM (SELECT sum(c_custkey)::BIGINT AS s, min(CASE WHEN c_custkey % 50 = 49 THEN c_custkey END) AS b FROM customer)")
+def using_result_err(spark, d):
+    return table(spark, d, "customer", ["c_custkey"]).using_clone(49).into_fallible_result(lambda s, c_custkey: (None, f"{c_custkey}?") if c_custkey % 50 == s else ({"v": c_custkey}, None), "v long").sum("v")
+
+
+@query("SELECT max(c_custkey) AS value, false AS absent FROM customer")
+def using_option_max(spark, d):
+    return table(spark, d, "customer", ["c_custkey"]).using_clone(-1).into_fallible_option(lambda s, c_custkey: {"v": c_custkey} if c_custkey > s else None, "v long").max("v")
+
+
+# -- knobs, observed
+
+
+@query("SELECT count(*) AS rows, true AS small, true AS several FROM orders")
+def chunk_size_seen(spark, d):
+    told = table(spark, d, "orders", ["o_orderkey"]).chunk_size(64).diagnostics()
+    return told.agg(F.sum("rows").alias("rows"), (F.max("largest_batch") <= 64).alias("small"), (F.sum("calls") >= F.sum("rows") / 64).alias("several"))
+
+
+@query("SELECT 1::BIGINT AS tasks, count(*) AS rows FROM orders")
+def num_threads_seen(spark, d):
+    return table(spark, d, "orders", ["o_orderkey"]).num_threads(1).diagnostics().agg(F.count("*").alias("tasks"), F.sum("rows").alias("rows"))
+
+
+@query("SELECT sum(o_orderkey)::BIGINT AS value FROM orders")
+def runner_chosen(spark, d):
+    return table(spark, d, "orders", ["o_orderkey"]).with_runner(lambda df: df.repartition(3)).sum()
+
+
+@query(_REC.format(e=_EDGES, w="") + " SELECT count(*) AS value FROM t")
+def rec_exact(spark, d):
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    sizes = {n: t(n).count() for n in ("region", "nation", "customer", "orders")}
+    roots = t("region").select(F.col("r_regionkey").cast("long").alias("key"), F.lit("region").alias("kind"))
+    below = {"region": ("nation", "n_regionkey", "n_nationkey"), "nation": ("customer", "c_nationkey", "c_custkey"), "customer": ("orders", "o_custkey", "o_orderkey")}
+
+    def extend(level: DataFrame) -> DataFrame:
+        parts = [level.where(F.col("kind") == kind).join(t(name), F.col("key") == F.col(up)).select(F.col(own).cast("long").alias("key"), F.lit(name).alias("kind")) for kind, (name, up, own) in below.items()]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    return par_rec_exact(roots, extend, sum(sizes.values())).count()
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return map_filter_collect(spark, d)
