@@ -283,14 +283,21 @@ class Layout:
         starts = (_starts(lengths) if starts is None else starts)[self.order]
         rank = np.repeat(np.arange(len(sizes)), sizes)
         position = np.arange(int(sizes.sum())) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        place = offsets[position] + rank
         self.active, self.offsets = active.tolist(), offsets.tolist()
-        self.source, self.rank = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-        self.source[place], self.rank[place] = np.repeat(starts, sizes) + position, rank
+        self.source = np.empty(len(position), np.int64)
+        self.source[offsets[position] + rank] = np.repeat(starts, sizes) + position
+
+    def by_document(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the tokens' values."""
+        out = np.zeros(len(self.order))
+        if self.steps:
+            rank = np.arange(len(values)) - np.repeat(self.offsets[:-1], self.active)
+            out[self.order] = np.bincount(rank, values, len(out))
+        return out
 
 
 def forward(model: Model, lengths: np.ndarray, symbols: np.ndarray, keep: bool = False, starts: np.ndarray | None = None):
-    """log10 likelihood of each document; with ``keep`` also what the backward recursion needs.
+    """log10 likelihood of each document; with ``keep`` that of all, and what the backward recursion needs.
 
     Arrays hold a row a state, so that all documents of a step are one vector.
     """
@@ -313,11 +320,9 @@ def forward(model: Model, lengths: np.ndarray, symbols: np.ndarray, keep: bool =
         np.add.reduce(step, axis=0, out=s)
         alpha = alphas[:, a : a + n] if keep else alpha[:, :n]
         np.divide(step, s, out=alpha)
-    logs = np.log10(scale, dtype=np.float64)
-    log = np.zeros(len(lengths))
-    if layout.steps:
-        log[layout.order] = np.bincount(layout.rank, logs, len(lengths))
-    return (log, layout, own, alphas, emitted, scale) if keep else log
+    if keep:
+        return float(np.log(scale).sum(dtype=np.float64)) / math.log(10), layout, own, alphas, emitted, scale
+    return layout.by_document(np.log10(scale, dtype=np.float64))
 
 
 def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
@@ -338,9 +343,9 @@ def expected(model: Model, lengths: np.ndarray, symbols: np.ndarray, starts: np.
             moves += gamma[:, b : b + n] @ w.T  # still the forward values
             np.matmul(model.moves, w, out=now)
     moves *= model.moves
-    places = np.flatnonzero(np.bincount(own, minlength=len(model.emissions)))
-    sums = np.stack([np.bincount(own, gamma[j], len(model.emissions))[places] for j in range(k)], 1)
-    return gamma[:, : layout.active[0]].sum(1, dtype=np.float64) if layout.steps else np.zeros(k), moves, places, sums, float(log.sum())
+    sums = np.stack([np.bincount(own, gamma[j], len(model.emissions)) for j in range(k)], 1)
+    places = np.flatnonzero(sums.any(1))
+    return gamma[:, : layout.active[0]].sum(1, dtype=np.float64) if layout.steps else np.zeros(k), moves, places, sums[places], log
 
 
 def by_length(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -375,15 +380,16 @@ def baum_welch(coded: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, f
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, moves, sums, log, any_ = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0, False
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held_back = 0
 
         def settle() -> None:
-            nonlocal starts, moves, log, any_
+            nonlocal starts, moves, log, any_, held_back
             if not waiting:
                 return
-            lengths, symbols = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            lengths, begins, symbols = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
-            begins = _starts(lengths)
+            held_back = 0
             for docs in by_length(lengths, BATCH):
                 s, m, at, e, one = expected(shared.value, lengths[docs], symbols, begins[docs])
                 starts, moves, log, any_ = starts + s, moves + m, log + one, True
@@ -393,8 +399,9 @@ def baum_welch(coded: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, f
             for row in range(batch.num_rows):
                 held, lengths, symbols = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in (("held", bool), ("lengths", np.int32), ("symbols", np.int32)))
                 if not held.all():
-                    waiting.append((lengths[~held], symbols[np.repeat(~held, lengths)]))
-                if sum(len(x) for _, x in waiting) >= WAITING:
+                    waiting.append((lengths[~held], _starts(lengths)[~held] + held_back, symbols))
+                    held_back += len(symbols)
+                if held_back >= WAITING:
                     settle()
         settle()
         if any_:
