@@ -223,24 +223,28 @@ def _block_links(open_members: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the lowest id of its class) of every document, as its rows stand."""
-    described = common.materialize(describe(docs, text).withColumn("rep", F.xxhash64("digest")), "minhash")
-    # Different texts are the vertices, numbered by their digests; ids come back at the end.
-    reps = common.materialize(described.groupBy("rep").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "minhash-reps")
+    described = common.materialize(describe(docs, text).withColumn("node", F.xxhash64("digest")), "minhash")
+    # Different texts are the vertices. Where every row has an id of its own they are numbered by their
+    # lowest ids, which lead back to their texts; else by their digests. Classes are the same.
+    repeats = _repeats(docs)
+    reps = described.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    reps = common.materialize(reps.withColumn("rep", F.col("node" if repeats else "id")), "minhash-reps")
     members = reps.select("rep", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     pairs = common.materialize(members.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
-    repeats = _repeats(docs)
-    edges = pairs.select("a", "b")
-    wanted = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).distinct()
-    wanted = wanted.join(reps.select("rep", F.col("id").alias("__id")), "rep")
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     raw = F.coalesce(F.col(text), F.lit(""))
-    held = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64(F.unhex(F.sha2(raw.cast("binary"), 256))).alias("rep"), raw.alias("text"))
-    held = held.join(wanted, (held.rep == wanted.rep) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select("rep", "text")
-    held = common.materialize(held.groupBy("rep").agg(F.max("text").alias("text")) if repeats else held, "minhash-texts")
+    if repeats:
+        wanted = wanted.join(reps.select("rep", F.col("id").alias("__id")), "rep")
+        held = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64(F.unhex(F.sha2(raw.cast("binary"), 256))).alias("rep"), raw.alias("text"))
+        held = held.join(wanted, (held.rep == wanted.rep) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
+    else:
+        held = docs.select(F.col("doc_id").alias("rep"), raw.alias("text")).join(wanted, "rep", "left_semi")
+    held = common.materialize(held, "minhash-texts")
     edges = verify(pairs, held, threshold).select("a", "b")
     if repeats:  # texts of one id are one document
-        first = described.groupBy("doc_id").agg(F.min("rep").alias("a"))
-        edges = edges.unionByName(described.select("doc_id", F.col("rep").alias("b")).join(first, "doc_id").where("a <> b").select("a", "b").distinct())
+        first = described.groupBy("doc_id").agg(F.min("node").alias("a"))
+        edges = edges.unionByName(described.select("doc_id", F.col("node").alias("b")).join(first, "doc_id").where("a <> b").select("a", "b").distinct())
     edges = common.materialize(edges, "minhash-edges")
     components = common.connected_components(edges)
     near = members.join(hubs, "key").join(components, members.rep == components.node, "left")
@@ -250,16 +254,18 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     new = common.materialize(_block_links(near.join(still, "key").join(held, "rep"), threshold), "minhash-edges")
     if new.limit(1).count():
         components = common.connected_components(edges.unionByName(new))
-    of_rep = common.materialize(reps.select("rep", "id").join(components, reps.rep == components.node, "left").select("rep", "id", "component"), "minhash-classes")
-    lowest = of_rep.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
-    of_rep = of_rep.join(lowest, "component", "left").select("rep", F.coalesce("lowest", "id").alias("class_id"))
-    found = described.select("doc_id", "rep").join(of_rep, "rep").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    of_node = common.materialize(reps.select("node", "rep", "id").join(components, reps.rep == components.node, "left").select(reps.node, "id", "component"), "minhash-classes")
+    if repeats:
+        lowest = of_node.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
+        of_node = of_node.join(lowest, "component", "left").withColumn("component", F.col("lowest"))
+    of_node = of_node.select("node", F.coalesce("component", "id").alias("class_id"))
+    found = described.select("doc_id", "node").join(of_node, "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _repeats(docs: DataFrame) -> bool:
-    """Whether an id stands on several rows."""
-    return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    """Whether an id stands on several rows, or a row has none."""
+    return docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
