@@ -3,7 +3,7 @@
 Words are lower-cased runs of bytes that are neither ASCII punctuation nor white space; a hash
 gives each a row of the embedding table. Filters of several widths run over the words, each
 filter's largest value in the text counts, and a logistic layer weighs them. The model is fitted
-on the driver to at most ``SAMPLE`` labelled texts and ``SAMPLE_BYTES`` of text of each class, picked
+in one task to at most ``SAMPLE`` labelled texts and ``SAMPLE_BYTES`` of text of each class, picked
 by a hash of their ids; its size does not depend on the data. A part of the sample that training does not see sets the
 calibration of scores. Rejection thresholds come from the scores of all learnable labelled texts
 that training did not see, counted by language: each language's own best threshold, drawn to
@@ -379,15 +379,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             room[r["toxic"]] -= r["size"] * r["n"]
             taken.append((r["doc_id"], r["digest"]))
     wanted = docs.sparkSession.createDataFrame(taken, "doc_id bigint, digest bigint")
-    found = texts.join(F.broadcast(wanted), ["doc_id", "digest"], "left_semi").select("doc_id", "toxic", "text").toArrow()
-    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
-    del found
+    picked = texts.join(F.broadcast(wanted), ["doc_id", "digest"], "left_semi").select("doc_id", "toxic", "text")
+
+    def work(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
+        return pa.table({"model": pa.array([packed(_fitted(rows, totals))], pa.binary())})
+
+    # One task trains on the sample, whose size is bounded; a lost executor's work is done again by another.
+    found = picked.groupBy().applyInArrow(work, "model binary").collect()
     common.release(texts)
-    texts = word_rows([r[2] for r in rows])
+    return unpacked(found[0]["model"]) if found else _constant(totals)
+
+
+def packed(model: Model) -> bytes:
+    """A model's bytes; most rows of its table are zero."""
+    return zlib.compress(pickle.dumps(model, protocol=5), 1)
+
+
+def unpacked(raw: bytes) -> Model:
+    return pickle.loads(zlib.decompress(raw))
+
+
+def _constant(totals: dict[int, int]) -> Model:
+    return Model(*[np.zeros(1)] * 4, 0.0, constant=totals[1] / (totals[0] + totals[1]))
+
+
+def _fitted(rows: list[tuple[int, int, bytes]], totals: dict[int, int]) -> Model:
+    """A model of rows (doc_id, label, text), calibrated for classes as frequent as ``totals``."""
     y = np.array([r[1] for r in rows])
     held = np.arange(len(rows)) % CALIBRATE == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        return Model(*[np.zeros(1)] * 4, 0.0, constant=totals[1] / (totals[0] + totals[1]))
+        return _constant(totals)
+    texts = word_rows([r[2] for r in rows])
     model = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
     of_class = np.array([(y == k).sum() for k in (0, 1)])
     weights = np.array([totals[k] / of_class[k] for k in y[held]])  # classes as frequent as among all labels
@@ -398,14 +421,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """All of ``docs`` with the column ``into``."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))  # fixed size: ROWS * DIM numbers
+    shared = docs.sparkSession.sparkContext.broadcast(packed(model))  # fixed size: ROWS * DIM numbers at most
     kept: dict = {}
     docs = docs.drop(*(c for c in docs.columns if c.lower() == into.lower()))
     names = docs.columns
     place = names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = kept.get("scorer") or kept.setdefault("scorer", Scorer(pickle.loads(shared.value)))
+        own = kept.get("scorer") or kept.setdefault("scorer", Scorer(unpacked(shared.value)))
         for batch in batches:
             for part in common.slices(batch, place, 2 << 20):
                 raw = part.column(place).cast(pa.binary())
