@@ -44,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     no_words = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(common.WORD_REGEX), F.lit(False))
     keyed = _keyed(docs.where(~no_words))
     own = keyed.select(F.col("__id").alias("doc_id"), "text")
-    kept = minhash.classes(own).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    stays = keyed.join(kept, "__id", "left_semi")
+    gone = minhash.classes(own).where("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct()
+    stays = keyed.join(gone, "__id", "left_anti")  # those that go are fewer than those that stay
     if minhash._repeats(own):
         place = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text"), "source", "lang"))
         stays = stays.withColumn("__place", place).where("__place = 1")
