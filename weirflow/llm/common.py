@@ -6,7 +6,8 @@ the driver and all executors, so a lost executor loses none of them.
 
 from __future__ import annotations
 
-import os
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,6 +70,15 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system, as the worker lives on for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str | int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch whose ``column`` holds about ``most`` bytes each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -141,6 +141,7 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
                 digests = [hashlib.sha256(texts[k].encode("utf-8", "surrogatepass")).digest() for k in keep]
                 columns = [part.column("doc_id").take(pa.array(keep)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "bands"])
+        common.give_back()
 
     return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(work, "doc_id bigint, digest binary, bands array<bigint>")
 
@@ -174,6 +175,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
                     b.append(y)
                     s.append(similarity)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+        common.give_back()
 
     return rows.mapInArrow(work, "a bigint, b bigint, similarity double")
 

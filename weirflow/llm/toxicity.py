@@ -383,7 +383,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def work(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
-        return pa.table({"model": pa.array([packed(_fitted(rows, totals))], pa.binary())})
+        made = packed(_fitted(rows, totals))
+        del rows
+        common.give_back()
+        return pa.table({"model": pa.array([made], pa.binary())})
 
     # One task trains on the sample, whose size is bounded; a lost executor's work is done again by another.
     found = picked.groupBy().applyInArrow(work, "model binary").collect()
@@ -434,6 +437,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
                 raw = part.column(place).cast(pa.binary())
                 found = np.concatenate([own.scores(raw.slice(k, 64).to_pylist()) for k in range(0, len(raw), 64)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*names, into])
+        kept.clear()
+        del own
+        common.give_back()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{into}` double"])
     return docs.mapInArrow(work, schema)
