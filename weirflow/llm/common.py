@@ -92,13 +92,23 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = 8 << 20) -> Ite
         yield batch.slice(start)
 
 
+def join_apart(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """``rows.join(other, key)`` whose sides are both shuffled for the join, so adaptive execution can split a hot key's rows.
+
+    ``other`` is mostly an aggregate by ``key``; a join takes over such a partitioning, and its partitions
+    are never split. A second join key, the hash of the first, asks for shuffles of their own.
+    """
+    hashed = F.xxhash64(key)
+    return rows.withColumn("__hash", hashed).join(other.withColumn("__hash", hashed), ["__hash", key]).drop("__hash")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of an undirected edge table: the smallest node reachable from each.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is two
-    shuffles of at most the edge count; every neighbour list is reduced to its minimum by a
-    partial aggregate and joined back. A hub's edges are one key of that join: adaptive execution
-    splits it where it is large (the other side has one row a node), as nothing is kept in groups.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014). Every neighbour list is
+    reduced to its minimum by a partial aggregate and joined back; shuffles hold at most the edges
+    in both directions. A hub's edges are one key of that join, which adaptive execution splits
+    where it is large (see ``join_apart``; the other side has one row a node).
     Rounds stop when the edge set repeats; their number is logarithmic in practice.
     """
     spark = edges.sparkSession
@@ -110,10 +120,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Large star: each node links its larger neighbours to its smallest neighbour or itself.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_apart(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: each node links its smaller neighbours and itself to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = join_apart(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u <> v").distinct(), "cc")
         release(e)
         e = after

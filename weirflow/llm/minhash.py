@@ -152,7 +152,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     Members of a hub are dealt out in chunks; a chunk's task holds the hub's set and one member's at a time.
     """
     sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(sized, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")).select("a", "chunk", "b")
+    dealt = common.join_apart(pairs, sized, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")).select("a", "chunk", "b")
     hubs = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("a", "chunk", F.col("a").alias("b"))
     rows = dealt.unionByName(hubs).join(texts, F.col("b") == F.col("rep")).select("a", "chunk", "b", "text")
     rows = rows.repartition(common.partitions_for(pairs), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("a") != F.col("b"))
@@ -183,7 +183,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
 def _block_links(open_members: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between different components of a bucket, compared whole, block by block; those that span them."""
     counts = open_members.groupBy("key").agg(F.ceil(F.sum(F.length("text") + 1) / BLOCK_CHARS).cast("int").alias("blocks"))
-    rows = open_members.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = common.join_apart(open_members, counts, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "rep", "component", "text")
 
@@ -233,7 +233,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     reps = common.materialize(reps.withColumn("rep", F.col("node" if repeats else "id")), "minhash-reps")
     members = reps.select("rep", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    pairs = common.materialize(members.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
+    pairs = common.materialize(common.join_apart(members, hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     raw = F.coalesce(F.col(text), F.lit(""))
     if repeats:
@@ -249,11 +249,11 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
         edges = edges.unionByName(described.select("doc_id", F.col("node").alias("b")).join(first, "doc_id").where("a <> b").select("a", "b").distinct())
     edges = common.materialize(edges, "minhash-edges")
     components = common.connected_components(edges)
-    near = members.join(hubs, "key").join(components, members.rep == components.node, "left")
+    near = common.join_apart(members, hubs, "key").join(components, members.rep == components.node, "left")
     near = common.materialize(near.select("key", "rep", F.coalesce("component", "rep").alias("component")), "minhash-near")
     still = near.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     still = still.where("lo <> hi and n > 2").select("key")  # of two members the one pair is verified already
-    new = common.materialize(_block_links(near.join(still, "key").join(held, "rep"), threshold), "minhash-edges")
+    new = common.materialize(_block_links(common.join_apart(near, still, "key").join(held, "rep"), threshold), "minhash-edges")
     if new.limit(1).count():
         components = common.connected_components(edges.unionByName(new))
     of_node = common.materialize(reps.select("node", "rep", "id").join(components, reps.rep == components.node, "left").select(reps.node, "id", "component"), "minhash-classes")
