@@ -132,4 +132,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = now
     node = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return node.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = node.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._weirflow_path = e._weirflow_path
+    return out

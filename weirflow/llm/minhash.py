@@ -243,20 +243,26 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     else:
         held = docs.select(F.col("doc_id").alias("rep"), raw.alias("text")).join(wanted, "rep", "left_semi")
     held = common.materialize(held, "minhash-texts")
+    spent = [reps, pairs, held]
     edges = verify(pairs, held, threshold).select("a", "b")
     if repeats:  # texts of one id are one document
         first = described.groupBy("doc_id").agg(F.min("node").alias("a"))
         edges = edges.unionByName(described.select("doc_id", F.col("node").alias("b")).join(first, "doc_id").where("a <> b").select("a", "b").distinct())
     edges = common.materialize(edges, "minhash-edges")
     components = common.connected_components(edges)
+    spent += [edges, components]
     near = common.join_apart(members, hubs, "key").join(components, members.rep == components.node, "left")
     near = common.materialize(near.select("key", "rep", F.coalesce("component", "rep").alias("component")), "minhash-near")
     still = near.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     still = still.where("lo <> hi and n > 2").select("key")  # of two members the one pair is verified already
     new = common.materialize(_block_links(common.join_apart(near, still, "key").join(held, "rep"), threshold), "minhash-edges")
+    spent += [near, new]
     if new.limit(1).count():
         components = common.connected_components(edges.unionByName(new))
+        spent.append(components)
     of_node = common.materialize(reps.select("node", "rep", "id").join(components, reps.rep == components.node, "left").select(reps.node, "id", "component"), "minhash-classes")
+    for table in spent:
+        common.release(table)
     if repeats:
         lowest = of_node.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
         of_node = of_node.join(lowest, "component", "left").withColumn("component", F.col("lowest"))
