@@ -233,7 +233,8 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     reps = common.materialize(reps.withColumn("rep", F.col("node" if repeats else "id")), "minhash-reps")
     members = reps.select("rep", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    pairs = common.materialize(common.join_apart(members, hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
+    shared = common.materialize(common.join_apart(members, hubs, "key"), "minhash-shared")  # buckets of two members or more
+    pairs = common.materialize(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     raw = F.coalesce(F.col(text), F.lit(""))
     if repeats:
@@ -243,7 +244,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     else:
         held = docs.select(F.col("doc_id").alias("rep"), raw.alias("text")).join(wanted, "rep", "left_semi")
     held = common.materialize(held, "minhash-texts")
-    spent = [reps, pairs, held]
+    spent = [reps, shared, pairs, held]
     edges = verify(pairs, held, threshold).select("a", "b")
     if repeats:  # texts of one id are one document
         first = described.groupBy("doc_id").agg(F.min("node").alias("a"))
@@ -251,7 +252,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     edges = common.materialize(edges, "minhash-edges")
     components = common.connected_components(edges)
     spent += [edges, components]
-    near = common.join_apart(members, hubs, "key").join(components, members.rep == components.node, "left")
+    near = shared.join(components, shared.rep == components.node, "left")
     near = common.materialize(near.select("key", "rep", F.coalesce("component", "rep").alias("component")), "minhash-near")
     still = near.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     still = still.where("lo <> hi and n > 2").select("key")  # of two members the one pair is verified already
