@@ -391,7 +391,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # One task trains on the sample, whose size is bounded; a lost executor's work is done again by another.
     found = picked.groupBy().applyInArrow(work, "model binary").collect()
     common.release(texts)
-    return unpacked(found[0]["model"]) if found else _constant(totals)
+    model = unpacked(found[0]["model"]) if found else _constant(totals)
+    del found
+    common.give_back()
+    return model
 
 
 def packed(model: Model) -> bytes:
