@@ -77,6 +77,20 @@ def test_columns_sort_suffixes():
             assert prefixes[k] == same
 
 
+def test_column_files_are_written_once(tmp_path):
+    r = np.random.default_rng(1)
+    text = r.integers(97, 99, (60, 20)).astype(np.uint8)
+    group = r.integers(0, 4, 60)
+    before = set()
+    for (j, order, prefixes), plain in zip(sd.columns(text, group, f"file://{tmp_path}"), sd.columns(text, group), strict=True):
+        assert j == plain[0] and (order == plain[1]).all() and (prefixes == plain[2]).all()
+        names = {p.name for p in tmp_path.glob("*/*")} - {"symbols"}
+        assert names and not names & before  # a file that is written over is flushed to disk
+        assert sum(p.stat().st_size for p in tmp_path.glob("*/*")) <= text.size + 6 * len(group)
+        before = names
+    assert not list(tmp_path.iterdir())
+
+
 def test_repeated_rows_and_empty(spark):
     t = prose(80, 9)
     rows = sd.remove_repeats(docs_frame(spark, [t, t, t], [4, 4, None])).collect()

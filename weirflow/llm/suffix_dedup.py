@@ -9,7 +9,8 @@ first: each round inserts one symbol per string in front of its suffix, takes th
 the ranks of the symbols in the current Burrows-Wheeler column (its symbol's first place plus
 its rank among equal symbols, group by group), and updates the common prefixes of neighbours: one
 more than the least between their old places where symbols agree, else none. Columns, order,
-Burrows-Wheeler column and prefixes are sequential files that each round reads and writes once.
+Burrows-Wheeler column and prefixes are sequential files that each round reads and writes once,
+under a name of their own: a file that is written over is flushed to disk before the next round.
 Because windows that can be equal share a column, a round needs the previous column's files only,
 and the cost is one pass over the strings instead of one a round over all suffixes so far. In the
 columns where windows begin, neighbours with a common prefix of 100 bytes or more are equal
@@ -179,35 +180,48 @@ def strings_of(anchors: np.ndarray, texts: list[bytes], doc_ids: np.ndarray) ->
 
 
 class ColumnFiles:
-    """Sequential files of one construction, in a folder of their own below ``root`` that is removed at its end; without ``root`` in memory."""
+    """Sequential files of one construction, in a folder of their own below ``root`` that is removed at its end; without ``root`` in memory.
+
+    The symbols are one file, and each column's order, Burrows-Wheeler column and prefixes another, which goes when the next is written.
+    """
 
     def __init__(self, text: np.ndarray, root: str | None):
-        self.rows, self.held = len(text), {}
+        self.rows, self.last = len(text), None
         self.store = None
-        if root:
-            self.store, inner = fs.FileSystem.from_uri(root)
-            self.folder = f"{inner}/columns-{uuid.uuid4().hex}"
-            self.store.create_dir(self.folder)
-        self.write("symbols", np.ascontiguousarray(text.T))
+        symbols = np.ascontiguousarray(text.T)
+        if not root:
+            self.symbols = symbols
+            return
+        self.store, inner = fs.FileSystem.from_uri(root)
+        self.folder = f"{inner}/columns-{uuid.uuid4().hex}"
+        self.store.create_dir(self.folder)
+        with self.store.open_output_stream(f"{self.folder}/symbols") as f:
+            f.write(symbols)
 
-    def column(self, j: int) -> np.ndarray:
+    def symbols_of(self, j: int) -> np.ndarray:
         if not self.store:
-            return self.held["symbols"][j]
+            return self.symbols[j]
         with self.store.open_input_file(f"{self.folder}/symbols") as f:
             return np.frombuffer(f.read_at(self.rows, j * self.rows), np.uint8)
 
-    def read(self, name: str, kind) -> np.ndarray:
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        """Order and prefixes of the last column."""
         if not self.store:
-            return self.held[name]
-        with self.store.open_input_stream(f"{self.folder}/{name}") as f:
-            return np.frombuffer(f.read(), kind)
+            return self.last
+        with self.store.open_input_stream(self.last) as f:
+            data, m = f.read(), self.rows
+        return np.frombuffer(data, np.int32, m), np.frombuffer(data, np.uint8, m, 5 * m)
 
-    def write(self, name: str, values: np.ndarray) -> None:
+    def write(self, j: int, order: np.ndarray, bwt: np.ndarray, prefixes: np.ndarray) -> None:
         if not self.store:
-            self.held[name] = values
+            self.last = order, prefixes
             return
-        with self.store.open_output_stream(f"{self.folder}/{name}") as f:
-            f.write(values)
+        before, self.last = self.last, f"{self.folder}/column-{j}"
+        with self.store.open_output_stream(self.last) as f:
+            for values in (order, bwt, prefixes):
+                f.write(values)
+        if before:
+            self.store.delete_file(before)
 
     def remove(self) -> None:
         if self.store:
@@ -243,12 +257,10 @@ def columns(text: np.ndarray, group: np.ndarray, root: str | None = None) -> Ite
         _, sizes = np.unique(group, return_counts=True)
         number = np.repeat(np.arange(len(sizes)), sizes)  # of the group at each place; places of a group stay together
         begins = np.concatenate([[True], number[1:] != number[:-1]]) if m else np.zeros(0, bool)
-        files.write("order", order.astype(np.int32))
-        files.write("prefixes", np.zeros(m, np.uint8))
+        files.write(text.shape[1], order.astype(np.int32), np.zeros(m, np.uint8), np.zeros(m, np.uint8))
         for j in range(text.shape[1] - 1, -1, -1):
-            order, prefixes = files.read("order", np.int32), files.read("prefixes", np.uint8)
-            bwt = files.column(j)[order]  # the symbol before each suffix, in the suffixes' order
-            files.write("bwt", bwt)
+            order, prefixes = files.read()
+            bwt = files.symbols_of(j)[order]  # the symbol before each suffix, in the suffixes' order
             place = np.argsort(number * 256 + bwt, kind="stable")  # new places: by group, symbol, old place
             symbol = bwt[place]
             agree = np.concatenate([[False], symbol[1:] == symbol[:-1]]) & ~begins
@@ -257,8 +269,7 @@ def columns(text: np.ndarray, group: np.ndarray, root: str | None = None) -> Ite
             if len(where):
                 longer[where] = np.minimum(_range_minimum(prefixes, place[where - 1] + 1, place[where]), 254) + 1
             order = order[place]
-            files.write("order", order)
-            files.write("prefixes", longer)
+            files.write(j, order, bwt, longer)
             yield j, order, longer
     finally:
         files.remove()
