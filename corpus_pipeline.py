@@ -45,7 +45,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = _keyed(docs.where(~no_words))
     own = keyed.select(F.col("__id").alias("doc_id"), "text")
     gone = minhash.classes(own).where("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    stays = keyed.join(gone, "__id", "left_anti")  # those that go are fewer than those that stay
+    gone = common.materialize(gone, "pipeline-gone")
+    some, others = common.sifted(keyed, "__id", gone)  # those that go are fewer than those that stay
+    stays = others.unionByName(some.join(gone, "__id", "left_anti"))
     if minhash._repeats(own):
         place = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text"), "source", "lang"))
         stays = stays.withColumn("__place", place).where("__place = 1")

@@ -53,3 +53,17 @@ def test_components_with_a_hub(skewed):
     got = {r["node"]: r["component"] for r in common.connected_components(skewed.createDataFrame(edges, "a bigint, b bigint")).collect()}
     loops = {a for a, b in edges if a == b} - {n for a, b in edges if a != b for n in (a, b)}
     assert got == {n: root(n) for n in parent if n not in loops}
+
+
+def test_sifted_loses_no_key(spark, monkeypatch):
+    rows = spark.range(-3000, 3000).selectExpr("id k", "'t' t").unionByName(spark.createDataFrame([(None, "n")], "k bigint, t string"))
+    keys = spark.range(0, 3000, 10).selectExpr("id z").unionByName(spark.createDataFrame([(None,), (10,)], "z bigint"))
+    for most in (common.MOST_ROWS, 1):
+        monkeypatch.setattr(common, "MOST_ROWS", most)
+        monkeypatch.setattr(common, "BITS", 16 if most > 1 else 1)
+        some, others = ([r["k"] for r in part.collect()] for part in common.sifted(rows, "k", keys))
+        assert set(range(0, 3000, 10)) <= set(some) and None in others
+        assert sorted(some + [k for k in others if k is not None]) == list(range(-3000, 3000))
+        assert len(some) < 1200
+    some, others = common.sifted(rows, "k", keys.where("z < 0"))
+    assert some.count() == 0 and others.count() == 6001

@@ -41,3 +41,34 @@ def test_copies_without_ids(spark):
     assert sum(x in (other, near) for _, x in kept) == 1
     assert sorted((x is None, x or "") for i, x in kept if i is None and x in (None, "", "alone")) == [(False, ""), (False, "alone"), (True, "")]
     assert len(kept) == 6
+
+
+def shuffled_bytes(df):
+    """Bytes in all exchanges of the plan of a frame that was collected."""
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    texts = [prose(400, 500 + k) for k in range(300)]
+    docs = docs_frame(spark, [*texts, texts[7], texts[8]]).select(*COLUMNS)
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in held:  # as at scale, where ids are too many to be broadcast
+        spark.conf.set(k, "-1")
+    try:
+        one = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert {r["doc_id"] for r in one.collect()} == set(range(300))
+        assert 0 < shuffled_bytes(one) < sum(map(len, texts)) / 4
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

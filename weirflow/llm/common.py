@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: What separates words everywhere in the contracts: space and the ASCII controls 9 to 13.
 SPACE_BYTES = "\x20\x09-\x0d"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
+#: Bits of one row of a bitmap (Spark's ``bitmap_construct_agg``), bits for each key, and most rows.
+BITMAP, BITS, MOST_ROWS = 8 * 4096, 16, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -102,6 +104,25 @@ def join_apart(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("__hash", hashed).join(other.withColumn("__hash", hashed), ["__hash", key]).drop("__hash")
 
 
+def sifted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose bigint ``key`` may be among the one column of ``keys``, and those where it is surely not, as a null is.
+
+    A bitmap of the keys' hashes tells, so only the first need a join, and the others' texts are not shuffled
+    however many keys there are. It has ``BITS`` bits a key and 16 MB at most; beyond that more rows may match.
+    """
+    n = min(MOST_ROWS, -(-keys.count() * BITS // BITMAP) or 1)
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(n * BITMAP))
+    part = lambda c: F.floor(place(c) / BITMAP).cast("int")
+    own = keys.columns[0]
+    bits = keys.select(part(own).alias("__part"), (place(own) % BITMAP).alias("__bit")).groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    bits = materialize(bits, "bitmap")
+    bit = place(key) % BITMAP
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    met = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    marked = rows.withColumn("__part", part(key)).join(F.broadcast(bits), "__part", "left").withColumn("__met", met)
+    return marked.where("__met").select(*rows.columns), marked.where("not __met").select(*rows.columns)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of an undirected edge table: the smallest node reachable from each.
 

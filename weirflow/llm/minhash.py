@@ -235,14 +235,17 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     shared = common.materialize(common.join_apart(members, hubs, "key"), "minhash-shared")  # buckets of two members or more
     pairs = common.materialize(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+    wanted = ends.distinct()
     raw = F.coalesce(F.col(text), F.lit(""))
     if repeats:
         wanted = wanted.join(reps.select("rep", F.col("id").alias("__id")), "rep")
         held = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64(F.unhex(F.sha2(raw.cast("binary"), 256))).alias("rep"), raw.alias("text"))
+        held, _ = common.sifted(held, "rep", ends)
         held = held.join(wanted, (held.rep == wanted.rep) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
     else:
-        held = docs.select(F.col("doc_id").alias("rep"), raw.alias("text")).join(wanted, "rep", "left_semi")
+        held, _ = common.sifted(docs.select(F.col("doc_id").alias("rep"), raw.alias("text")), "rep", ends)
+        held = held.join(wanted, "rep", "left_semi")
     held = common.materialize(held, "minhash-texts")
     spent = [reps, shared, pairs, held]
     edges = verify(pairs, held, threshold).select("a", "b")
