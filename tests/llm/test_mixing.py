@@ -81,3 +81,8 @@ def test_native_and_empty(spark):
     assert mixing.mix(docs_frame(spark, [])).count() == 0
     assert mixing.mix(docs_frame(spark, [None, ""])).count() == 2
     assert mixing.mix(docs_frame(spark, ["a b", "a b", "c"], [1, 1, None])).count() == 3
+
+
+def test_the_last_plan_is_small(spark):
+    plan = mixing.mix(docs_frame(spark, [f"a b {k}" for k in range(40)]))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and plan.count("Exchange") < 20  # the driver holds a plan as often as Spark replans it

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm import vocabulary as vocab
-from weirflow.llm.common import slices
+from weirflow.llm.common import give_back, slices
 
 #: Pretokens a worker remembers; beyond that it starts over, so memory is bounded.
 REMEMBERED = 400_000
@@ -202,7 +202,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", 2 << 20):
                 ids = own.encode(part.column("__text").to_pylist())
                 decoded = [own.decode(i) for i in ids]
                 out = [part.column(k) for k in range(len(keep))]
@@ -215,6 +215,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
                 out.append(pa.array([hashlib.sha256(i).hexdigest() for i in ids]))
                 out.append(pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded]))
                 yield pa.RecordBatch.from_arrays(out, names=[n for n, _ in columns])
+        give_back()
 
     schema = ", ".join(f"`{n}` {t}" for n, t in columns)
     return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(work, schema)

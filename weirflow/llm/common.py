@@ -81,6 +81,12 @@ def give_back() -> None:
         trim(0)
 
 
+def rest(spark: SparkSession) -> None:
+    """Between queries the driver drops the plans that ended, and its heap shrinks to what is in use."""
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: str | int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch whose ``column`` holds about ``most`` bytes each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -152,6 +158,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == before:
             break
         before = now
+    rest(spark)
     node = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = node.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     out._weirflow_path = e._weirflow_path

@@ -267,6 +267,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     of_node = common.materialize(reps.select("node", "rep", "id").join(components, reps.rep == components.node, "left").select(reps.node, "id", "component"), "minhash-classes")
     for table in spent:
         common.release(table)
+    common.rest(docs.sparkSession)
     if repeats:
         lowest = of_node.where("component is not null").groupBy("component").agg(F.min("id").alias("lowest"))
         of_node = of_node.join(lowest, "component", "left").withColumn("component", F.col("lowest"))

@@ -145,7 +145,7 @@ def draw(goal: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
 
     # Slots of a source are numbered through the shards; those past its quota are given to sources below theirs.
     numbered = before(counts, ["place"], "shard", "n", "from").join(goal.select("place", "quota"), "place")
-    held = numbered.withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota")))
+    held = common.materialize(numbered.withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota"))), "mix-numbered")
     kept = held.where("to > from").select("shard", "place", "from", "to")
     over = held.withColumn("free", F.col("n") - F.greatest(F.lit(0), F.col("to") - F.col("from"))).where("free > 0").groupBy("shard").agg(F.sum("free").alias("free"))
     over = before(over, [], "shard", "free", "since").withColumn("upto", F.col("since") + F.col("free"))
@@ -185,7 +185,9 @@ def mix(docs: DataFrame, text: str = "text", block: int = BLOCK, shard: int = SH
     sized = sizes(docs, text)
     goal = common.materialize(quotas(targets(sized), block), "mix-goal")
     plan = draw(goal, shard, seed)
-    times = plan.groupBy("place", "block").agg(F.count("*").alias("times"))
+    # Written down, as each of the driver's plans stays small then; one row for each block that is taken.
+    times = common.materialize(plan.groupBy("place", "block").agg(F.count("*").alias("times")), "mix-times")
+    common.rest(docs.sparkSession)
     placed = streams(sized, goal)
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
